@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.functions.cleaning import cleaned, cleaned_hash
-from gleanery.llm import overlap, proportions
+from gleanery.llm import overlap, proportions, spans, tokens
 from gleanery.llm.sql import SQL  # noqa: F401
-from gleanery.session import table
+from gleanery.session import materialize, table
 
 GOLD, REST = ["gold_development", "gold_test"], ["unassigned"]
 
@@ -45,4 +45,33 @@ def p4_sample(spark: SparkSession, sf: str) -> DataFrame:
     return proportions.draw(*proportions.sample_plan(table(spark, sf, "predictions"), table(spark, sf, "sample_targets")))
 
 
-QUERIES = {"p3_found": p3_found, "p3_overlap_by_split": p3_overlap_by_split, "p4_found": p4_found, "p4_targets": p4_targets, "p4_sample": p4_sample}
+def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return tokens.token_ids(table(spark, sf, "documents"), "doc_id", "text")
+
+
+def p6_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Per language: rows, tokens, and texts that don't come back exactly from their ids (none may)."""
+    docs = table(spark, sf, "documents")
+    ids = materialize(tokens.token_ids(docs, "doc_id", "text"), "ids")
+    back = tokens.decoded(ids, "doc_id", "ids").select("doc_id", F.md5("text").alias("back"))
+    side = docs.select("doc_id", "lang", F.md5(F.coalesce("text", F.lit(""))).alias("said")).join(back, "doc_id")
+    side = side.join(ids.select("doc_id", F.size("ids").alias("n")), "doc_id")
+    return side.groupBy(cleaned("lang").alias("lang")).agg(
+        F.count("*").alias("documents"), F.sum("n").alias("tokens"), F.count_if(F.col("said") != F.col("back")).alias("changed")
+    )
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = spans.sharing_pairs(table(spark, sf, "documents"), "doc_id", "text")
+    return pairs.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
+
+
+def p8_shared_share(spark: SparkSession, sf: str) -> DataFrame:
+    return spans.shared_share(table(spark, sf, "documents"), "doc_id", "text")
+
+
+QUERIES = {
+    "p3_found": p3_found, "p3_overlap_by_split": p3_overlap_by_split,
+    "p4_found": p4_found, "p4_targets": p4_targets, "p4_sample": p4_sample,
+    "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p8_found": p8_found, "p8_shared_share": p8_shared_share,
+}

@@ -28,7 +28,13 @@ t as (
   from sample_targets left join have on c = (lower(trim(source_dataset)), lower(trim(source_label)), lower(trim(model_prediction))))
 """
 
+_RUNS = """
+with d as (select doc_id, text, length(text) as n from documents where length(text) >= 120),
+w as (select distinct doc_id, substr(text, i, 120) as k from (select doc_id, text, unnest(range(1, n - 118)) as i from d))
+"""
+
 SQL = {
+    "p8_found": _RUNS + "select distinct a.doc_id as doc_id_a, b.doc_id as doc_id_b from w a join w b on a.k = b.k and a.doc_id < b.doc_id",
     "p4_found": _TARGETS + "select target_id from t where available < needed",
     "p3_found": _OVERLAP + "select least(id_e, id_t) as assignment_id_a, greatest(id_e, id_t) as assignment_id_b from hits",
     "p3_overlap_by_split": _OVERLAP
