@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.functions.cleaning import cleaned, cleaned_hash
-from gleanery.llm import overlap, proportions, spans, tokens
+from gleanery.llm import overlap, packing, proportions, spans, tokens
 from gleanery.llm.sql import SQL  # noqa: F401
 from gleanery.session import materialize, table
 
@@ -61,6 +61,28 @@ def p6_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _packed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    kinds = [(r[0], r[1]) for r in table(spark, sf, "containers").select("container_kind", "capacity_tokens").collect()]  # a few rows
+    sizes = materialize(tokens.token_counts(table(spark, sf, "documents"), "doc_id", "text"), "sizes")
+    return packing.pack(sizes, "doc_id", "n_tokens", kinds)
+
+
+def p7_containers(spark: SparkSession, sf: str) -> DataFrame:
+    packed, _ = _packed(spark, sf)
+    return packed.select(
+        F.col("kind").alias("container_kind"), "container", "doc_id", "piece", F.col("first").alias("first_token"), F.col("size").alias("n_tokens")
+    )
+
+
+def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """Per kind and round: partitions, those whose bin count is certified, bins and their lower bound."""
+    _, bounds = _packed(spark, sf)
+    return bounds.groupBy(F.col("kind").alias("container_kind"), "round").agg(
+        F.count("*").alias("partitions"), F.count_if(F.col("bins") == F.col("bound")).alias("certified"),
+        F.sum("bins").alias("bins"), F.sum("bound").alias("lower_bound"),
+    )
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     pairs = spans.sharing_pairs(table(spark, sf, "documents"), "doc_id", "text")
     return pairs.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
@@ -73,5 +95,6 @@ def p8_shared_share(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "p3_found": p3_found, "p3_overlap_by_split": p3_overlap_by_split,
     "p4_found": p4_found, "p4_targets": p4_targets, "p4_sample": p4_sample,
-    "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p8_found": p8_found, "p8_shared_share": p8_shared_share,
+    "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p7_containers": p7_containers, "p7_fill": p7_fill,
+    "p8_found": p8_found, "p8_shared_share": p8_shared_share,
 }
