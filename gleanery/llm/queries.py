@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.functions.cleaning import cleaned, cleaned_hash
-from gleanery.llm import overlap, packing, proportions, spans, tokens
+from gleanery.llm import history, overlap, packing, proportions, spans, tokens
 from gleanery.llm.sql import SQL  # noqa: F401
 from gleanery.session import materialize, table
 
@@ -45,6 +45,18 @@ def p4_sample(spark: SparkSession, sf: str) -> DataFrame:
     return proportions.draw(*proportions.sample_plan(table(spark, sf, "predictions"), table(spark, sf, "sample_targets")))
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    manifest = table(spark, sf, "collection_manifest")
+    sample = F.nullif(F.btrim("sample_id", F.lit(" \t\r\n")), F.lit(""))
+    records = history.prepared(
+        manifest, row_id=F.col("record_id"), order=[F.col("batch_no"), F.col("stream_position")],
+        keys=[history.exact_key("hash", cleaned_hash("content_hash")), history.exact_key("sample", F.col("source_dataset"), sample)],
+        text=F.col("prompt"), keep=["batch_no"],
+    )
+    excluded = table(spark, sf, "exclusion_manifests").select(history.exact_key("hash", cleaned_hash("content_hash")).alias("key"))
+    return history.refused_records(records, "batch_no", excluded).select(F.col("rid").alias("record_id"))
+
+
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.token_ids(table(spark, sf, "documents"), "doc_id", "text")
 
@@ -95,6 +107,6 @@ def p8_shared_share(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "p3_found": p3_found, "p3_overlap_by_split": p3_overlap_by_split,
     "p4_found": p4_found, "p4_targets": p4_targets, "p4_sample": p4_sample,
-    "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p7_containers": p7_containers, "p7_fill": p7_fill,
+    "p5_found": p5_found, "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p7_containers": p7_containers, "p7_fill": p7_fill,
     "p8_found": p8_found, "p8_shared_share": p8_shared_share,
 }
