@@ -21,7 +21,9 @@ from gleanery.operators import metrics as M
 from gleanery.operators import relations as J
 from gleanery.operators import review as V
 from gleanery.operators import sampling as S
-from gleanery.session import table
+from gleanery.session import scratch, table
+from gleanery.streaming import collect
+from gleanery.streaming.runtime import stream_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -1023,3 +1025,32 @@ def s11_repeated_keys(t, spark):
 @query("select distinct assignment_id, case when needs_review is null then null when needs_review then 'true' else 'false' end as text from (select a.annotation_id as assignment_id, a.needs_review from annotations a)")
 def z07_row_text(t, spark):
     return t("annotations").select(c("annotation_id").alias("assignment_id"), c("needs_review").cast("string").alias("text")).distinct()
+
+
+# ---- streams --------------------------------------------------------------------------------------------------------------
+
+
+def _r03(spark: SparkSession, sf: str) -> DataFrame:
+    return collect.distinct_keys(stream_files(spark, f"{sf}/events.parquet"), ["user_id", "event_type"])
+
+
+def _r04(spark: SparkSession, sf: str) -> DataFrame:
+    stream = stream_files(spark, f"{sf}/collection_manifest.parquet", 1 << 40)  # one batch, so that the order is that of the table
+    rows = stream.select(cleaned_hash("content_hash").alias("k"), "normalized_label", "batch_no", "stream_position")
+    out = scratch(spark, "collected")
+    collect.collect_stream(rows, out, key="k", label="normalized_label", order=["batch_no", "stream_position"], quotas={"real": 400, "fake": 500}, target=800)
+    return spark.read.parquet(out).select("batch_no", "stream_position", "normalized_label")
+
+
+def _r17(spark: SparkSession, sf: str) -> DataFrame:
+    stream = stream_files(spark, f"{sf}/events.parquet").withColumn("ts", c("ts").cast("timestamp"))
+    got = collect.latest_windows(collect.window_counts(stream, "ts", "1 hour", ["event_type"], "value", "10 minutes"), ["event_type"])
+    return got.select(c("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+SQL |= {
+    "r03_stream_dedup": "select distinct user_id, event_type from events",
+    "r04_stream_quota": SQL["w12_quota_prefix"],
+    "r17_window_counts": "select time_bucket(interval 1 hour, ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2",
+}
+QUERIES |= {"r03_stream_dedup": _r03, "r04_stream_quota": _r04, "r17_window_counts": _r17}

@@ -19,34 +19,12 @@ overwriting, so that a batch that is run again after a failure leaves the same f
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.functions.cleaning import cleaned, instant
-from gleanery.session import discard, scratch
-
-STATE = {
-    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-    "spark.sql.streaming.minBatchesToRetain": "2",
-}
-
-
-@contextmanager
-def _settings(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
-    """A stream copies the session's settings when it starts; the session gets its own back."""
-    before = {k: spark.conf.get(k, None) for k in settings}
-    for k, v in settings.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
+from gleanery.session import scratch
+from gleanery.streaming.runtime import run_available, stream_files
 
 def merged_state(feed: DataFrame, key: str, sequence: list[Column], op: Column, payload: list[str]) -> DataFrame:
     """``(key, base, image)`` of a batch or streaming feed.
@@ -67,22 +45,17 @@ def merged_state(feed: DataFrame, key: str, sequence: list[Column], op: Column,
 
 
 def run_feed(
-    feed: DataFrame, out: str, checkpoint: str, *, key: str, sequence: list[Column], op: Column, payload: list[str]
+    feed: DataFrame, out: str, checkpoint: str | None, *, key: str, sequence: list[Column], op: Column, payload: list[str]
 ) -> None:
-    """Consume what is available of a streaming feed, one versioned upsert folder a micro-batch."""
+    """Consume what is available of a streaming feed, one versioned upsert folder a micro-batch.
+
+    With the same ``checkpoint`` and ``out``, a later call goes on where this one ended.
+    """
 
     def upsert(batch: DataFrame, version: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/version={version}")
 
-    (
-        merged_state(feed, key, sequence, op, payload)
-        .writeStream.outputMode("update")
-        .option("checkpointLocation", checkpoint)
-        .foreachBatch(upsert)
-        .trigger(availableNow=True)
-        .start()
-        .awaitTermination()
-    )
+    run_available(merged_state(feed, key, sequence, op, payload), upsert, checkpoint)
 
 
 def current_rows(spark: SparkSession, out: str, key: str) -> DataFrame:
@@ -104,16 +77,12 @@ def apply_files(
     ``sequence`` and ``op`` are built by calling them, as columns of the feed.  An empty feed gives
     an empty result; columns beside key, sequence, operation and payload are not read.
     """
-    schema = spark.read.parquet(path).schema
-    # as a pattern, the path may be one file as well as a folder of files
-    feed = spark.readStream.schema(schema).option("maxBytesPerTrigger", bytes_per_trigger).parquet(f"{path[:-1]}[{path[-1]}]")
-    out, checkpoint = scratch(spark, "feed"), scratch(spark, "feed-state")
+    feed = stream_files(spark, path, bytes_per_trigger)
+    out = scratch(spark, "feed")
     seq, operation = sequence(), op()
     # an empty first version gives the folder its schema, whatever the feed holds
-    merged_state(spark.createDataFrame([], schema), key, seq, operation, payload).write.parquet(f"{out}/version=-1")
-    with _settings(spark, STATE):
-        run_feed(feed, out, checkpoint, key=key, sequence=seq, op=operation, payload=payload)
-    discard(checkpoint)
+    merged_state(spark.createDataFrame([], feed.schema), key, seq, operation, payload).write.parquet(f"{out}/version=-1")
+    run_feed(feed, out, None, key=key, sequence=seq, op=operation, payload=payload)
     return current_rows(spark, out, key)
 
 
