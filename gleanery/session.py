@@ -8,9 +8,12 @@ that setting is absent, as in tests.
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,9 +72,41 @@ def discard(path: str) -> None:
     _remove(path)
 
 
-def materialize(df: DataFrame, what: str, partitions: int | None = None) -> DataFrame:
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Settings for the plans and streams that start inside; the session gets its own back."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+_open: list[list[str]] = []
+
+
+@contextmanager
+def temporaries(spark: SparkSession) -> Iterator[None]:
+    """Tables that :func:`materialize` writes inside are removed at the end, but for those to be kept, and so are
+    the shuffle files of what no longer refers to them, which else stay until the driver collects garbage."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            discard(path)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+
+def materialize(df: DataFrame, what: str, partitions: int | None = None, keep: bool = False) -> DataFrame:
     """Write ``df`` to a scratch table and read it back: a lineage cut that survives lost executors."""
     spark = df.sparkSession
     path = scratch(spark, what)
+    if _open and not keep:
+        _open[-1].append(path)
     (df if partitions is None else df.coalesce(partitions)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

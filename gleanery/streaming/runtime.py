@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.session import discard, scratch
+from gleanery.session import discard, scratch, settings
 
 # State beyond memory, small checkpoints, few old versions.
 STATE = {
@@ -17,19 +16,6 @@ STATE = {
 }
 
 
-@contextmanager
-def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
-    """A stream copies the session's settings when it starts; the session gets its own back."""
-    before = {k: spark.conf.get(k, None) for k in values}
-    for k, v in values.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def stream_files(spark: SparkSession, path: str, bytes_per_trigger: int = 64 << 20) -> DataFrame:
     """A Parquet file or a folder of them as a stream, some bytes a micro-batch."""
     schema = spark.read.parquet(path).schema
