@@ -2,10 +2,10 @@
 
 A :class:`History` is a persistent store of three tables, appended to by each ingest:
 
-* ``prints`` - fingerprints of accepted records, bucketed by fingerprint: exact keys, and of each text the
+* ``prints`` - fingerprints of accepted records, bucketed by Bloom block: exact keys, and of each text the
   winnowed shingle hashes.  Winnowing by position only promises to find long common runs; here the window
-  slides over the set in a fixed order, which promises a common fingerprint for any two sets with the
-  required share in common (the prefix rule of :mod:`gleanery.llm.shingles`);
+  lies over the set in a fixed order, which promises a common fingerprint for any two sets with the
+  required share in common (the signatures of :mod:`gleanery.llm.shingles`);
 * ``texts`` - the canonical text of accepted records, bucketed by record, read only to verify coverage;
 * ``bloom`` - Bloom filters partitioned into blocks of 512 bits, bucketed by block.
 
@@ -25,11 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm.shingles import alike, canonical, fit_order, may_be_alike, prefixes, shingle_set, with_words
-from gleanery.session import discard, materialize, scratch
+from gleanery.llm.shingles import alike, canonical, canonical_set, fit_order, signatures, sizes_allow
+from gleanery.session import discard, materialize, scratch, settings, temporaries
 
 EXACT, WINNOWED = 0, 1
 PROBES, WORDS = 4, 8  # bits set per fingerprint; longs per block of 512 bits
+RARE = 4  # shingles that the first ingest has at most so often sign alone
+# rows that lie by block may be joined by block and fingerprint where they are
+BY_BLOCK = {"spark.sql.requireAllClusterKeysForCoPartition": "false"}
 
 
 def exact_key(kind: str, *parts: Column) -> Column:
@@ -50,7 +53,7 @@ def prepared(df: DataFrame, *, row_id: Column, order: list[Column], keys: list[C
         *keep, row_id.alias("rid"), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], row_id.alias("rid")).alias("ord"),
         F.array(*keys).alias("keys"), text.alias("text"),
     ).filter("rid is not null")
-    rows = with_words(rows, F.col("text")).withColumn("canon", F.when(F.size("words") >= 3, canonical("words")))
+    rows = rows.withColumn("canon", canonical(F.col("text")))
     own = exact_key("text", F.col("canon"))
     return rows.select(
         *keep, "rid", "ord", F.filter(F.concat("keys", F.array(own)), lambda k: k.isNotNull()).alias("keys"),
@@ -58,13 +61,14 @@ def prepared(df: DataFrame, *, row_id: Column, order: list[Column], keys: list[C
     )
 
 
-def _sets(rows: DataFrame, canon: str, into: str) -> DataFrame:
-    return rows.withColumn("_w", F.split(canon, " ")).withColumn(into, shingle_set("_w")).drop("_w", canon)
-
-
 def _bit(i: int) -> str:
     """SQL of the place in its block of the i-th bit of a fingerprint."""
-    return f"cast(shiftrightunsigned(chk, {9 * i}) & 511 as int)"
+    return f"cast(shiftrightunsigned(xxhash64(fp), {9 * i}) & 511 as int)"
+
+
+def _exact() -> list[Column]:
+    """The columns of an exact key's print beside its hashes."""
+    return [F.lit(None).cast("long").alias("owner"), F.lit(EXACT).cast("tinyint").alias("kind"), F.lit(0).alias("n")]
 
 
 class History:
@@ -104,62 +108,64 @@ class History:
     # ---- fingerprints -------------------------------------------------------------------------------------
 
     def _add(self, prints: DataFrame) -> None:
-        self._append(prints, "prints", "fp")
+        prints = prints.withColumn("block", self._block())
+        self._append(prints, "prints", "block")
         set_ = lambda w, i: f"if({_bit(i)} >> 6 = {w}, shiftleft(1L, {_bit(i)} & 63), 0L)"
         words = [F.expr(f"bit_or({' | '.join(set_(w, i) for i in range(PROBES))})").alias(f"b{w}") for w in range(WORDS)]
-        self._append(prints.groupBy(self._block().alias("block")).agg(*words), "bloom", "block")
+        self._append(prints.groupBy("block").agg(*words), "bloom", "block")
 
     def _block(self) -> Column:
         return F.pmod("fp", F.lit(self.blocks)).cast("int")
 
     def _positives(self, probes: DataFrame) -> DataFrame:
-        """Of ``(rid, kind, fp, chk, n, pos)`` those that the Bloom filters don't rule out."""
+        """Of ``(rid, kind, fp, chk, n)`` those that the Bloom filters don't rule out, with their block."""
         blocks = self._table("bloom").groupBy("block").agg(*[F.bit_or(f"b{w}").alias(f"b{w}") for w in range(WORDS)])
         blocks = blocks.select("block", F.array(*[f"b{w}" for w in range(WORDS)]).alias("bits"))
-        got = probes.withColumn("block", self._block()).join(blocks, "block")
+        got = probes.withColumn("block", self._block()).repartition(self.buckets, "block").join(blocks.hint("merge"), "block")
         got = got.filter(" and ".join(f"shiftright(bits[{_bit(i)} >> 6], {_bit(i)} & 63) & 1L = 1L" for i in range(PROBES)))
-        return got.drop("block", "bits")
+        return got.drop("bits")
 
     def exclude(self, keys: DataFrame) -> None:
         """Refuse every record that has one of ``keys`` (column ``key``: :func:`exact_key`); nulls are ignored."""
-        rows = keys.filter("key is not null").select("key.fp", "key.chk").distinct()
-        self._add(rows.select("fp", "chk", F.lit(None).cast("long").alias("owner"), F.lit(EXACT).cast("tinyint").alias("kind"), F.lit(0).alias("n"), F.lit(0).alias("pos")))
+        self._add(keys.filter("key is not null").select("key.fp", "key.chk").distinct().select("fp", "chk", *_exact()))
 
     # ---- ingest -------------------------------------------------------------------------------------------
 
     def ingest(self, batch: DataFrame) -> DataFrame:
-        """Decide ``batch`` (:func:`prepared`, as a table), add what is accepted and return its ``rid``.
+        """Decide ``batch`` (:func:`prepared`, as a table), add what is accepted and return the refused ``rid``.
 
         The result is that of taking the records one by one in their order.
         """
-        reps = materialize(
-            batch.filter("canon is not null").groupBy("tfp", "tchk").agg(F.min(F.struct("ord", "canon")).alias("m"))
-            .select("tfp", "tchk", F.col("m.ord.rid").alias("cls"), F.col("m.canon").alias("canon")),
-            "classes",
-        )
-        if self.order is None:  # decides the cost only; any fixed order gives the same result
-            self.order = fit_order(_sets(reps, "canon", "set"), "set")
-        prints = materialize(prefixes(_sets(reps.select("cls", "canon"), "canon", "set"), ["cls"], "set", self.order), "winnowed")
-        found = materialize(self._look_up(batch, prints), "found")
-        rows = batch.select("rid", "ord", "keys", "tfp", "tchk").join(reps.select("tfp", "tchk", "cls"), ["tfp", "tchk"], "left")
-        rest = rows.join(found.filter(F.col("kind") == EXACT).select("rid"), "rid", "left_anti").join(self._covered(found, reps), "cls", "left_anti")
-        rest = materialize(rest.select("rid", "ord", "keys", "cls"), "rest")
-        edges = materialize(self._edges(prints.join(rest.select("cls"), "cls", "left_semi"), reps), "edges")
-        accepted = materialize(self._decide(rest, edges), "accepted")
-        self._remember(accepted, reps, prints)
-        return accepted.select("rid")
+        with temporaries(self.spark):
+            reps = materialize(
+                batch.filter("canon is not null").groupBy("tfp", "tchk").agg(F.min(F.struct("ord", "canon")).alias("m"))
+                .select("tfp", "tchk", F.col("m.ord.rid").alias("cls"), F.col("m.canon").alias("canon")),
+                "classes",
+            )
+            sets = reps.select("cls", canonical_set(F.col("canon")).alias("set"))
+            if self.order is None:  # decides the cost only; any fixed order gives the same result
+                self.order = fit_order(sets, "set")
+            prints = materialize(signatures(sets, ["cls"], "set", self.order, RARE), "winnowed")
+            with settings(self.spark, BY_BLOCK):
+                found = materialize(self._look_up(batch, prints), "found")
+            rows = batch.select("rid", "ord", "keys", "tfp", "tchk").join(reps.select("tfp", "tchk", "cls"), ["tfp", "tchk"], "left")
+            known = found.filter(F.col("kind") == EXACT).select("rid")
+            rest = rows.join(known, "rid", "left_anti").join(self._covered(found, reps), "cls", "left_anti")
+            rest = materialize(rest.select("rid", "ord", "keys", "cls"), "rest")
+            edges = materialize(self._edges(prints.join(rest.select("cls"), "cls", "left_semi"), reps), "edges")
+            accepted = materialize(self._decide(rest, edges), "accepted")
+            self._remember(accepted, reps, prints)
+            return materialize(batch.select("rid").distinct().join(accepted, "rid", "left_anti"), "refused", 2, keep=True)
 
     def _look_up(self, batch: DataFrame, prints: DataFrame) -> DataFrame:
         """``(rid, kind, owner)``: records with an exact key of the store, and classes with a candidate there."""
-        exact = batch.select("rid", F.explode("keys").alias("k")).select(
-            "rid", F.lit(EXACT).cast("tinyint").alias("kind"), "k.fp", "k.chk", F.lit(0).alias("n"), F.lit(0).alias("pos")
-        )
-        winnowed = prints.select(
-            F.col("cls").alias("rid"), F.lit(WINNOWED).cast("tinyint").alias("kind"), F.col("s").alias("fp"), F.xxhash64("s").alias("chk"), "n", "pos"
-        )
+        exact = batch.select("rid", F.explode("keys").alias("k")).select("rid", "k.fp", "k.chk", *_exact()).drop("owner")
+        winnowed = prints.select(F.col("cls").alias("rid"), F.col("s").alias("fp"), F.lit(None).cast("long").alias("chk"), F.lit(WINNOWED).cast("tinyint").alias("kind"), "n")
         a, b = self._positives(exact.unionByName(winnowed)).alias("a"), self._table("prints").alias("b")
-        same = (F.col("a.fp") == F.col("b.fp")) & (F.col("a.chk") == F.col("b.chk")) & (F.col("a.kind") == F.col("b.kind"))
-        pairs = a.join(b, same).filter((F.col("a.kind") == EXACT) | may_be_alike("a", "b"))
+        # of the same block and fingerprint; the rest of the condition is no key, for the tables lie by block
+        rest = (F.col("a.kind") - F.col("b.kind") == 0) & ((F.col("a.kind") == WINNOWED) | (F.col("a.chk").bitwiseXOR(F.col("b.chk")) == 0))
+        pairs = a.join(b.hint("merge"), (F.col("a.block") == F.col("b.block")) & (F.col("a.fp") == F.col("b.fp")) & rest)
+        pairs = pairs.filter((F.col("a.kind") == EXACT) | sizes_allow("a", "b"))
         return pairs.select("a.rid", "a.kind", "b.owner").distinct()
 
     def _covered(self, found: DataFrame, reps: DataFrame) -> DataFrame:
@@ -167,15 +173,15 @@ class History:
         old = self._table("texts").select(F.col("rid").alias("owner"), F.col("canon").alias("old"))
         pairs = found.filter(F.col("kind") == WINNOWED).select(F.col("rid").alias("cls"), "owner")
         pairs = pairs.join(reps.select("cls", "canon"), "cls").join(old, "owner")
-        return _sets(_sets(pairs, "canon", "x"), "old", "y").filter(alike("x", "y")).select("cls")
+        return pairs.filter(alike(canonical_set(F.col("canon")), canonical_set(F.col("old")))).select("cls")
 
     def _edges(self, prints: DataFrame, reps: DataFrame) -> DataFrame:
         """``(a, b)`` of classes within the batch that are alike, both ways."""
         a, b = prints.alias("a"), prints.alias("b")
-        pairs = a.join(b, (F.col("a.s") == F.col("b.s")) & (F.col("a.cls") < F.col("b.cls"))).filter(may_be_alike("a", "b"))
+        pairs = a.join(b, (F.col("a.s") == F.col("b.s")) & (F.col("a.cls") < F.col("b.cls"))).filter(sizes_allow("a", "b"))
         pairs = pairs.select(F.col("a.cls").alias("p"), F.col("b.cls").alias("q")).distinct()
         text = lambda c: reps.select(F.col("cls").alias(c), F.col("canon").alias(f"t{c}"))
-        got = _sets(_sets(pairs.join(text("p"), "p").join(text("q"), "q"), "tp", "x"), "tq", "y").filter(alike("x", "y"))
+        got = pairs.join(text("p"), "p").join(text("q"), "q").filter(alike(canonical_set(F.col("tp")), canonical_set(F.col("tq"))))
         both = F.array(F.struct(F.col("p").alias("a"), F.col("q").alias("b")), F.struct(F.col("q").alias("a"), F.col("p").alias("b")))
         return got.select(F.explode(both).alias("e")).select("e.a", "e.b")
 
@@ -246,11 +252,9 @@ class History:
 
     def _remember(self, accepted: DataFrame, reps: DataFrame, prints: DataFrame) -> None:
         cls = accepted.filter("cls is not null").select("cls")
-        exact = accepted.select(F.explode("keys").alias("k")).select(
-            "k.fp", "k.chk", F.lit(None).cast("long").alias("owner"), F.lit(EXACT).cast("tinyint").alias("kind"), F.lit(0).alias("n"), F.lit(0).alias("pos")
-        )
+        exact = accepted.select(F.explode("keys").alias("k")).select("k.fp", "k.chk", *_exact())
         winnowed = prints.join(cls, "cls", "left_semi").select(
-            F.col("s").alias("fp"), F.xxhash64("s").alias("chk"), F.col("cls").alias("owner"), F.lit(WINNOWED).cast("tinyint").alias("kind"), "n", "pos"
+            F.col("s").alias("fp"), F.lit(None).cast("long").alias("chk"), F.col("cls").alias("owner"), F.lit(WINNOWED).cast("tinyint").alias("kind"), "n"
         )
         self._add(exact.unionByName(winnowed))
         self._append(reps.join(cls, "cls", "left_semi").select(F.col("cls").alias("rid"), "canon"), "texts", "rid")
@@ -274,11 +278,12 @@ def refused_records(records: DataFrame, batch: str, excluded: DataFrame, batches
     records.withColumn("ingest", ingest).drop(batch).write.option("compression", "zstd").partitionBy("ingest").parquet(staged)
     rows = spark.read.parquet(staged)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    store = History(spark, scratch(spark, "history"), buckets, max(1024, rows.count() * 4 // 10))
+    store = History(spark, scratch(spark, "history"), buckets, max(1024, rows.count() * 2 // 10))
     store.exclude(excluded)
-    accepted = [store.ingest(rows.filter(F.col("ingest") == i).drop("ingest")) for i in range(len(groups))]
+    refused = [store.ingest(rows.filter(F.col("ingest") == i).drop("ingest")) for i in range(len(groups))]
     store.drop()
-    out = accepted[0]
-    for x in accepted[1:]:
-        out = out.unionByName(x)
-    return rows.select("rid").join(out, "rid", "left_anti").distinct()
+    discard(staged)
+    out = refused[0]
+    for r in refused[1:]:
+        out = out.unionByName(r)
+    return out

@@ -1,7 +1,7 @@
 """Records of evaluation splits that stand, exactly or nearly, in the training split.
 
 Records are canonicalised (case, punctuation, white space), hashed, and equal hashes collapse into one
-class; hashes of both sides are joined.  For near copies the classes' shingle prefixes are joined
+class; hashes of both sides are joined.  For near copies the classes' signatures are joined
 (:mod:`gleanery.llm.shingles`) and each candidate is checked by the exact share of common shingles.
 Classes, not records, are compared, so a text copied a million times is compared once.
 """
@@ -11,48 +11,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.shingles import alike, canonical, fit_order, may_be_alike, prefixes, shingle_set, with_words
+from gleanery.llm.shingles import alike, canonical, canonical_set, fit_order, signatures, sizes_allow
 from gleanery.session import materialize
 
 
 def records(df: DataFrame, *, row_id: str, group: Column, split: Column, key: Column, text: Column, evaluation: list[str], training: list[str]) -> DataFrame:
-    """One row per record on a side: ``id, grp, split, train, key, cls, set``; repeated ids are one record.
+    """One row per record on a side: ``id, grp, split, train, key, canon, cls``; repeated ids are one record.
 
     ``cls`` is the digest of the canonical text, null where it is too short for a shingle (then there is
     no likeness).  A split that is null or on neither list is on no side; a null group compares with none.
     """
     rows = df.select(F.col(row_id).alias("id"), group.alias("grp"), split.alias("split"), key.alias("key"), text.alias("text"))
     rows = rows.filter(F.col("split").isin(evaluation + training) & F.col("grp").isNotNull() & F.col("id").isNotNull())
-    rows = with_words(rows.dropDuplicates(["id"]), F.col("text"))
-    rows = rows.withColumn("set", shingle_set("words"))
-    return rows.select(
-        "id", "grp", "split", F.col("split").isin(training).alias("train"), "key",
-        F.when(F.col("set").isNotNull(), F.unhex(F.md5(canonical("words")))).alias("cls"), "set",
-    )
+    return rows.dropDuplicates(["id"]).select(
+        "id", "grp", "split", F.col("split").isin(training).alias("train"), "key", canonical(F.col("text")).alias("canon")
+    ).withColumn("cls", F.unhex(F.md5("canon")))
 
 
-def alike_classes(rows: DataFrame, cells: int = 1 << 21) -> DataFrame:
+def alike_classes(rows: DataFrame, cells: int = 1 << 22, rare: int = 16) -> DataFrame:
     """``(grp, cls_e, cls_t)``: classes with evaluation rows and classes with training rows that are alike.
 
     A class that has rows on both sides is paired with itself.
     """
     classes = materialize(
         rows.filter("cls is not null").groupBy("grp", "cls").agg(
-            F.max(~F.col("train")).alias("e"), F.max("train").alias("t"), F.first("set").alias("set")
-        ),
+            F.max(~F.col("train")).alias("e"), F.max("train").alias("t"), F.first("canon").alias("canon")
+        ).select("grp", "cls", "e", "t", canonical_set(F.col("canon")).alias("set")),
         "classes",
     )
     order = fit_order(classes, "set", cells, ("e", "t"))
-    pre = prefixes(classes, ["grp", "cls", "e", "t"], "set", order)
+    pre = lambda side: signatures(classes.filter(side), ["grp", "cls"], "set", order, rare, skip_zero=True)
     pairs = (
-        pre.filter("e").alias("a")
-        .join(pre.filter("t").alias("b"), (F.col("a.grp") == F.col("b.grp")) & (F.col("a.s") == F.col("b.s")) & (F.col("a.cls") != F.col("b.cls")))
-        .filter(may_be_alike("a", "b"))
+        pre("e").alias("a")
+        .join(pre("t").alias("b"), (F.col("a.grp") == F.col("b.grp")) & (F.col("a.s") == F.col("b.s")) & (F.col("a.cls") != F.col("b.cls")))
+        .filter(sizes_allow("a", "b"))
         .select("a.grp", F.col("a.cls").alias("cls_e"), F.col("b.cls").alias("cls_t"))
         .distinct()
     )
     side = lambda x: classes.select("grp", F.col("cls").alias(f"cls_{x}"), F.col("set").alias(f"set_{x}"))
-    near = pairs.join(side("e"), ["grp", "cls_e"]).join(side("t"), ["grp", "cls_t"]).filter(alike("set_e", "set_t"))
+    near = pairs.join(side("e"), ["grp", "cls_e"]).join(side("t"), ["grp", "cls_t"]).filter(alike(F.col("set_e"), F.col("set_t")))
     same = classes.filter("e and t").select("grp", F.col("cls").alias("cls_e"), F.col("cls").alias("cls_t"))
     return near.select("grp", "cls_e", "cls_t").unionByName(same)
 

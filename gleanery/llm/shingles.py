@@ -1,10 +1,15 @@
-"""Word shingles and the prefix rule that makes a similarity join exact without comparing all pairs.
+"""Word shingles, and the signatures that make a similarity join exact without comparing all pairs.
 
 Two sets with at least the share ``num/den`` of their union in common agree in at least
-``ceil(num/den * n)`` elements of either, so, in any one total order of all elements, both have a common
-element among their first ``n - ceil(num/den * n) + 1``.  Only those *prefixes* are joined.  The order
-decides the cost alone, never the result; rare elements first gives the fewest candidates.  It comes
-from a count sketch of fixed size, so that no element has to be shuffled to learn its frequency.
+``ceil(num/den * n)`` elements of either.  Hence, in any one total order of all elements, they have ``l`` common
+elements among their first ``n - ceil(num/den * n) + l``.  With rare elements first, ``l = 2`` and a fixed division of
+elements into rare and common ones, either a rare element is shared there or two common ones are; a set is signed
+with its rare elements and with the pairs of its common ones, and only equal signatures are joined.  A pair of common
+elements is rare in its turn, so that few candidates have to be verified.  Order and division decide the cost alone,
+never the result; they come from a count sketch of fixed size.
+
+A set of one element is signed with it.  Pairs would be too many for long sets: above ``LONG`` elements, and down to
+what can still be alike with such a set, sets are signed with the single elements for ``l = 1`` (too).
 """
 
 from __future__ import annotations
@@ -15,28 +20,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NUM, DEN = 3, 5
+LONG = 128
 WORD = "[a-z0-9]+"
 
 
-def with_words(df: DataFrame, text: Column, into: str = "words") -> DataFrame:
+def words_of(text: Column) -> Column:
     """The longest runs of a-z and 0-9 in the lower-cased text; null for a null text."""
-    return df.withColumn(into, F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
-def shingle_set(words: str, k: int = 3) -> Column:
-    """The sorted set of hashes of ``k`` consecutive words of the array column ``words``; null below
-    ``k`` words.  ``words`` must be a column that exists, else it would be computed for every element."""
-    w = F.col(words)
-    at = lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)])
-    return F.when(F.size(w) >= k, F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - k), at))))
+def _bound(value: Column, f) -> Column:
+    """``f(value)`` as one expression that computes ``value`` once: the optimiser puts the definition of a column
+    wherever the column is used, inside lambdas too, where it would be computed for every element."""
+    return F.get(F.transform(F.array(value), f), 0)
 
 
-def canonical(words: str) -> Column:
-    """The record after case, punctuation and white space are normalised."""
-    return F.array_join(F.col(words), " ")
+def shingle_set(words: Column, k: int = 3) -> Column:
+    """The sorted set of hashes of ``k`` consecutive words; null below ``k`` words."""
 
+    def of(w: Column) -> Column:
+        at = lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)])
+        return F.when(F.size(w) >= k, F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - k), at))))
 
-def fit_order(sets: DataFrame, arr: str, cells: int = 1 << 20, two_sided: tuple[str, str] | None = None) -> np.ndarray:
+    return _bound(words, of)
+
+
+def canonical(text: Column, least: int = 3) -> Column:
+    """The record after case, punctuation and white space are normalised; null below ``least`` words."""
+    return _bound(words_of(text), lambda w: F.when(F.size(w) >= least, F.array_join(w, " ")))
+
+
+def canonical_set(canon: Column, k: int = 3) -> Column:
+    """The shingle set of a canonical text."""
+    return shingle_set(F.split(canon, " "), k)
+
+
+def fit_order(sets: DataFrame, arr: str, cells: int = 1 << 22, two_sided: tuple[str, str] | None = None) -> np.ndarray:
     """How often the shingles of each of ``cells`` hash cells occur, saturating at 65,535.
 
     At most ``cells`` rows come to the driver, whatever the size of the corpus.  With ``two_sided``,
@@ -44,7 +63,8 @@ def fit_order(sets: DataFrame, arr: str, cells: int = 1 << 20, two_sided: tuple[
     other side has can't be a common element, and a sketch never says so wrongly.
     """
     sides = list(two_sided or [])
-    rows = sets.select(F.explode(arr).alias("s"), *sides).groupBy(F.pmod("s", F.lit(cells)).cast("int").alias("cell"))
+    # the outer form brings no condition of its own below the projection that makes the sets
+    rows = sets.select(F.explode_outer(arr).alias("s"), *sides).filter("s is not null").groupBy(F.pmod("s", F.lit(cells)).cast("int").alias("cell"))
     agg = rows.agg(F.least(F.count("*"), F.lit(65535)).cast("int").alias("n"), *[F.max(c).alias(c) for c in sides])
     agg = agg.filter(" and ".join(sides) if sides else "n > 1")
     got = agg.select("cell", "n").toArrow()
@@ -53,51 +73,73 @@ def fit_order(sets: DataFrame, arr: str, cells: int = 1 << 20, two_sided: tuple[
     return order
 
 
-def overlap_needed(n: Column, num: int = NUM, den: int = DEN) -> Column:
-    """ceil(num/den * n), the least overlap of a set of ``n`` with a partner."""
-    return F.floor((n * num + (den - 1)) / den)
-
-
-def prefixes(sets: DataFrame, keep: list[str], arr: str, order: np.ndarray, num: int = NUM, den: int = DEN) -> DataFrame:
-    """``keep`` columns, ``n`` (size of the set), ``pos`` and ``s`` of every prefix element.
-
-    Elements are ordered by ``order`` and then by hash; rows whose set is null or empty have none.
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _keys(flat: np.ndarray, sizes: np.ndarray, order: np.ndarray, rare: int, skip_zero: bool, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the set and key of all signatures of sets that lie in ``flat`` one after the other."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    rank = order[flat % len(order)]
+    by = np.lexsort((flat, rank, row))
+    flat, rank = flat[by], rank[by]
+    pos = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    n = sizes[row]
+    spare = n - (n * num + den - 1) // den
+    useful = rank > 0 if skip_zero else np.ones(len(flat), bool)
+    short = useful & (n <= LONG) & (pos < spare + 2)
+    single = short & ((rank <= rare) | (n == 1))
+    long_ = useful & (n * den > LONG * num) & (pos < spare + 1)
+    rows, keys = [row[single], row[long_]], [flat[single], (_mix(flat[long_].view(np.uint64)) + np.uint64(1)).view(np.int64)]
+    common = np.flatnonzero(short & ~single)
+    # the order is total, so equal pairs come in the same order in every set
+    r, f = row[common], _mix(flat[common].view(np.uint64))
+    for d in range(1, len(common)):
+        same = np.flatnonzero(r[d:] == r[:-d])
+        if not len(same):
+            break
+        rows.append(r[same])
+        keys.append(_mix(f[same] * np.uint64(3) + f[same + d]).view(np.int64))
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+def signatures(
+    sets: DataFrame, keep: list[str], arr: str, order: np.ndarray, rare: int, skip_zero: bool = False, num: int = NUM, den: int = DEN
+) -> DataFrame:
+    """``keep`` columns, ``n`` (size of the set) and ``s`` of every signature; none for a null or empty set.
+
+    Elements that ``order`` counts at most ``rare`` times are rare.  With ``skip_zero``, for an order made with
+    ``two_sided``, what counts 0 signs nothing.
     """
-    cells = len(order)
     fields = [sets.schema[c] for c in keep]
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", n int, pos int, s bigint"
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", n int, s bigint"
 
-    def cut(batches):
+    def sign(batches):
         for b in batches:
             lists = b.column(arr)
             sizes = np.diff(lists.offsets.to_numpy())
             if lists.null_count:
                 sizes = np.where(lists.is_valid().to_numpy(zero_copy_only=False), sizes, 0)
-            flat = lists.flatten().to_numpy()
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            rank = order[flat % cells]
-            by = np.lexsort((flat, rank, row))
-            pos = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            n = sizes[row]
-            first = pos < n - (n * num + den - 1) // den + 1
-            take = row[first]
-            cols = [b.column(c).take(pa.array(take)) for c in keep]
-            yield pa.RecordBatch.from_arrays(
-                [*cols, pa.array(n[first], pa.int32()), pa.array(pos[first], pa.int32()), pa.array(flat[by][first], pa.int64())],
-                names=[*keep, "n", "pos", "s"],
-            )
-
-    return sets.select(*keep, arr).filter(F.size(arr) > 0).mapInArrow(cut, ddl)
-
-
-def may_be_alike(a: str, b: str, num: int = NUM, den: int = DEN) -> Column:
-    """What sizes and prefix positions alone allow of two rows of :func:`prefixes` with one element in common."""
-    na, nb, pa_, pb = (F.col(f"{x}.{c}") for c in ("n", "pos") for x in (a, b))
-    need = F.ceil((na + nb) * num / (num + den) - F.lit(1e-9))
-    return (na * den >= nb * num) & (nb * den >= na * num) & (1 + F.least(na - pa_ - 1, nb - pb - 1) >= need)
-
-
-def alike(a: str | Column, b: str | Column, num: int = NUM, den: int = DEN) -> Column:
-    """Whether two shingle sets have at least num/den of their union in common."""
-    both = F.size(F.array_intersect(a, b))
-    return both * den >= (F.size(a) + F.size(b) - both) * num
+            row, key = _keys(lists.flatten().to_numpy(), sizes, order, rare, skip_zero, num, den)
+            cols = [b.column(c).take(pa.array(row)) for c in keep]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(sizes[row], pa.int32()), pa.array(key, pa.int64())], names=[*keep, "n", "s"])
+
+    return sets.select(*keep, arr).mapInArrow(sign, ddl)
+
+
+def sizes_allow(a: str, b: str, num: int = NUM, den: int = DEN) -> Column:
+    """Whether sets of these sizes can be alike at all."""
+    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+    return (na * den >= nb * num) & (nb * den >= na * num)
+
+
+def alike(a: Column, b: Column, num: int = NUM, den: int = DEN) -> Column:
+    """Whether two shingle sets have at least num/den of their union in common; each is computed once."""
+
+    def share(p: Column) -> Column:
+        both = F.size(F.array_intersect(p["a"], p["b"]))
+        return both * den >= (F.size(p["a"]) + F.size(p["b"]) - both) * num
+
+    return _bound(F.struct(a.alias("a"), b.alias("b")), share)
