@@ -41,7 +41,7 @@ def policies(df: DataFrame, weights: tuple[float, float, float], epsilons: DataF
     rows = df.join(F.broadcast(count), F.lit(True))
     first = F.size(F.filter("eps", lambda e: ~(F.col("p_fake") >= 0.5 - e * rho)))
     base = F.col("p_fake") >= 0.5
-    cells = rows.select(first.alias("step"), "fake", base.alias("base"), weight.alias("w")).groupBy("step", "fake", "base").agg(F.count("*").alias("n"), F.sum("w").alias("w"))
+    cells = rows.select(first.alias("step"), "fake", base.alias("base"), weight.alias("w")).groupBy("step", "fake", "base").agg(F.count("*").alias("n"), F.coalesce(F.sum("w"), F.lit(0)).alias("w"))
     cells = cells.agg(F.collect_list(F.struct("step", "fake", "base", "n", "w")).alias("c"))  # at most four per grid place
     grid = epsilons.join(F.broadcast(cells), F.lit(True))
 
