@@ -23,14 +23,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gleanery.llm.shingles import alike, canonical, canonical_set, fit_order, signatures, sizes_allow
+from gleanery.llm.shingles import alike, canonical, canonical_set, fit_order, may_be_alike, signatures
 from gleanery.session import discard, materialize, scratch, settings, temporaries
 
 EXACT, WINNOWED = 0, 1
 PROBES, WORDS = 4, 8  # bits set per fingerprint; longs per block of 512 bits
-RARE = 4  # shingles that the first ingest has at most so often sign alone
+RARE = 2  # shingles that the first ingest has at most so often sign alone
 # rows that lie by block may be joined by block and fingerprint where they are
 BY_BLOCK = {"spark.sql.requireAllClusterKeysForCoPartition": "false"}
 
@@ -68,7 +69,7 @@ def _bit(i: int) -> str:
 
 def _exact() -> list[Column]:
     """The columns of an exact key's print beside its hashes."""
-    return [F.lit(None).cast("long").alias("owner"), F.lit(EXACT).cast("tinyint").alias("kind"), F.lit(0).alias("n")]
+    return [F.lit(None).cast("long").alias("owner"), F.lit(EXACT).cast("tinyint").alias("kind"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("bits")]
 
 
 class History:
@@ -118,12 +119,12 @@ class History:
         return F.pmod("fp", F.lit(self.blocks)).cast("int")
 
     def _positives(self, probes: DataFrame) -> DataFrame:
-        """Of ``(rid, kind, fp, chk, n)`` those that the Bloom filters don't rule out, with their block."""
+        """Of ``(rid, kind, fp, chk, n, bits)`` those that the Bloom filters don't rule out, with their block."""
         blocks = self._table("bloom").groupBy("block").agg(*[F.bit_or(f"b{w}").alias(f"b{w}") for w in range(WORDS)])
-        blocks = blocks.select("block", F.array(*[f"b{w}" for w in range(WORDS)]).alias("bits"))
+        blocks = blocks.select("block", F.array(*[f"b{w}" for w in range(WORDS)]).alias("filter"))
         got = probes.withColumn("block", self._block()).repartition(self.buckets, "block").join(blocks.hint("merge"), "block")
-        got = got.filter(" and ".join(f"shiftright(bits[{_bit(i)} >> 6], {_bit(i)} & 63) & 1L = 1L" for i in range(PROBES)))
-        return got.drop("bits")
+        got = got.filter(" and ".join(f"shiftright(filter[{_bit(i)} >> 6], {_bit(i)} & 63) & 1L = 1L" for i in range(PROBES)))
+        return got.drop("filter")
 
     def exclude(self, keys: DataFrame) -> None:
         """Refuse every record that has one of ``keys`` (column ``key``: :func:`exact_key`); nulls are ignored."""
@@ -160,12 +161,12 @@ class History:
     def _look_up(self, batch: DataFrame, prints: DataFrame) -> DataFrame:
         """``(rid, kind, owner)``: records with an exact key of the store, and classes with a candidate there."""
         exact = batch.select("rid", F.explode("keys").alias("k")).select("rid", "k.fp", "k.chk", *_exact()).drop("owner")
-        winnowed = prints.select(F.col("cls").alias("rid"), F.col("s").alias("fp"), F.lit(None).cast("long").alias("chk"), F.lit(WINNOWED).cast("tinyint").alias("kind"), "n")
+        winnowed = prints.select(F.col("cls").alias("rid"), F.col("s").alias("fp"), F.lit(None).cast("long").alias("chk"), F.lit(WINNOWED).cast("tinyint").alias("kind"), "n", "bits")
         a, b = self._positives(exact.unionByName(winnowed)).alias("a"), self._table("prints").alias("b")
         # of the same block and fingerprint; the rest of the condition is no key, for the tables lie by block
         rest = (F.col("a.kind") - F.col("b.kind") == 0) & ((F.col("a.kind") == WINNOWED) | (F.col("a.chk").bitwiseXOR(F.col("b.chk")) == 0))
         pairs = a.join(b.hint("merge"), (F.col("a.block") == F.col("b.block")) & (F.col("a.fp") == F.col("b.fp")) & rest)
-        pairs = pairs.filter((F.col("a.kind") == EXACT) | sizes_allow("a", "b"))
+        pairs = pairs.filter((F.col("a.kind") == EXACT) | may_be_alike("a", "b"))
         return pairs.select("a.rid", "a.kind", "b.owner").distinct()
 
     def _covered(self, found: DataFrame, reps: DataFrame) -> DataFrame:
@@ -177,8 +178,10 @@ class History:
 
     def _edges(self, prints: DataFrame, reps: DataFrame) -> DataFrame:
         """``(a, b)`` of classes within the batch that are alike, both ways."""
+        # few signatures are repeated within a batch; the window finds them by the one exchange of all of them
+        prints = prints.withColumn("_n", F.count("*").over(W.partitionBy("s"))).filter("_n > 1").drop("_n")
         a, b = prints.alias("a"), prints.alias("b")
-        pairs = a.join(b, (F.col("a.s") == F.col("b.s")) & (F.col("a.cls") < F.col("b.cls"))).filter(sizes_allow("a", "b"))
+        pairs = a.join(b, (F.col("a.s") == F.col("b.s")) & (F.col("a.cls") < F.col("b.cls"))).filter(may_be_alike("a", "b"))
         pairs = pairs.select(F.col("a.cls").alias("p"), F.col("b.cls").alias("q")).distinct()
         text = lambda c: reps.select(F.col("cls").alias(c), F.col("canon").alias(f"t{c}"))
         got = pairs.join(text("p"), "p").join(text("q"), "q").filter(alike(canonical_set(F.col("tp")), canonical_set(F.col("tq"))))
@@ -254,7 +257,7 @@ class History:
         cls = accepted.filter("cls is not null").select("cls")
         exact = accepted.select(F.explode("keys").alias("k")).select("k.fp", "k.chk", *_exact())
         winnowed = prints.join(cls, "cls", "left_semi").select(
-            F.col("s").alias("fp"), F.lit(None).cast("long").alias("chk"), F.col("cls").alias("owner"), F.lit(WINNOWED).cast("tinyint").alias("kind"), "n"
+            F.col("s").alias("fp"), F.lit(None).cast("long").alias("chk"), F.col("cls").alias("owner"), F.lit(WINNOWED).cast("tinyint").alias("kind"), "n", "bits"
         )
         self._add(exact.unionByName(winnowed))
         self._append(reps.join(cls, "cls", "left_semi").select(F.col("cls").alias("rid"), "canon"), "texts", "rid")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.shingles import alike, canonical, canonical_set, fit_order, signatures, sizes_allow
+from gleanery.llm.shingles import alike, canonical, canonical_set, fit_order, may_be_alike, signatures
 from gleanery.session import materialize
 
 
@@ -44,7 +44,7 @@ def alike_classes(rows: DataFrame, cells: int = 1 << 22, rare: int = 16) -> Data
     pairs = (
         pre("e").alias("a")
         .join(pre("t").alias("b"), (F.col("a.grp") == F.col("b.grp")) & (F.col("a.s") == F.col("b.s")) & (F.col("a.cls") != F.col("b.cls")))
-        .filter(sizes_allow("a", "b"))
+        .filter(may_be_alike("a", "b"))
         .select("a.grp", F.col("a.cls").alias("cls_e"), F.col("b.cls").alias("cls_t"))
         .distinct()
     )

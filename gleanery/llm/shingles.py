@@ -108,13 +108,15 @@ def _keys(flat: np.ndarray, sizes: np.ndarray, order: np.ndarray, rare: int, ski
 def signatures(
     sets: DataFrame, keep: list[str], arr: str, order: np.ndarray, rare: int, skip_zero: bool = False, num: int = NUM, den: int = DEN
 ) -> DataFrame:
-    """``keep`` columns, ``n`` (size of the set) and ``s`` of every signature; none for a null or empty set.
+    """``keep`` columns, ``n`` (size of the set), ``bits`` and ``s`` of every signature; none for a null or empty set.
+
+    ``bits`` has a bit set for each element, by its hash: sets differ in at least as many elements as their bits do.
 
     Elements that ``order`` counts at most ``rare`` times are rare.  With ``skip_zero``, for an order made with
     ``two_sided``, what counts 0 signs nothing.
     """
     fields = [sets.schema[c] for c in keep]
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", n int, s bigint"
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", n int, bits bigint, s bigint"
 
     def sign(batches):
         for b in batches:
@@ -122,17 +124,31 @@ def signatures(
             sizes = np.diff(lists.offsets.to_numpy())
             if lists.null_count:
                 sizes = np.where(lists.is_valid().to_numpy(zero_copy_only=False), sizes, 0)
-            row, key = _keys(lists.flatten().to_numpy(), sizes, order, rare, skip_zero, num, den)
+            flat = lists.flatten().to_numpy()
+            row, key = _keys(flat, sizes, order, rare, skip_zero, num, den)
+            bits = _bits(flat, sizes)
             cols = [b.column(c).take(pa.array(row)) for c in keep]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(sizes[row], pa.int32()), pa.array(key, pa.int64())], names=[*keep, "n", "s"])
+            cols += [pa.array(sizes[row], pa.int32()), pa.array(bits[row], pa.int64()), pa.array(key, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=[*keep, "n", "bits", "s"])
 
     return sets.select(*keep, arr).mapInArrow(sign, ddl)
 
 
-def sizes_allow(a: str, b: str, num: int = NUM, den: int = DEN) -> Column:
-    """Whether sets of these sizes can be alike at all."""
+def _bits(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(sizes), np.int64)
+    some = sizes > 0
+    if len(flat):
+        one = np.uint64(1) << (_mix(flat.view(np.uint64)) >> np.uint64(58))
+        out[some] = np.bitwise_or.reduceat(one, (np.cumsum(sizes) - sizes)[some]).view(np.int64)
+    return out
+
+
+def may_be_alike(a: str, b: str, num: int = NUM, den: int = DEN) -> Column:
+    """What the sizes and bits of two rows of :func:`signatures` allow: alike sets differ in at most
+    ``(den - num) / (den + num)`` of their sizes' sum."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return (na * den >= nb * num) & (nb * den >= na * num)
+    apart = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
+    return (na * den >= nb * num) & (nb * den >= na * num) & (apart * (num + den) <= (na + nb) * (den - num))
 
 
 def alike(a: Column, b: Column, num: int = NUM, den: int = DEN) -> Column:
