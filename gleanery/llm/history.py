@@ -85,18 +85,21 @@ class History:
         self.spark, self.path, self.buckets, self.blocks, self.sequential_rows = spark, path, buckets, blocks, sequential_rows
         self.name = f"history_{uuid.uuid4().hex[:12]}"
         self.order: np.ndarray | None = None
-        self._append(spark.createDataFrame([], "rid long, canon string"), "texts", "rid")
+        self._append(self._placed(spark.createDataFrame([], "rid long, canon string"), "rid"), "texts", "rid")
 
     # ---- tables -------------------------------------------------------------------------------------------
 
     def _append(self, df: DataFrame, what: str, by: str) -> None:
-        """One file a bucket and ingest: the exchange hashes as the buckets do."""
+        """Append rows that :meth:`_placed` has put where their bucket is: one file a bucket and ingest."""
         (
-            df.repartition(self.buckets, by)
-            .write.format("parquet").bucketBy(self.buckets, by).mode("append").option("path", f"{self.path}/{what}").option("compression", "zstd")
+            df.write.format("parquet").bucketBy(self.buckets, by).mode("append").option("path", f"{self.path}/{what}").option("compression", "zstd")
             .saveAsTable(f"{self.name}_{what}")
         )
 
+    def _placed(self, df: DataFrame, by: str) -> DataFrame:
+        """An exchange that hashes as the buckets do."""
+        return df.repartition(self.buckets, by)
+
     def _table(self, what: str) -> DataFrame:
         return self.spark.table(f"{self.name}_{what}")
 
@@ -110,10 +113,10 @@ class History:
 
     def _add(self, prints: DataFrame) -> None:
         prints = prints.withColumn("block", self._block())
-        self._append(prints, "prints", "block")
+        self._append(self._placed(prints, "block"), "prints", "block")
         set_ = lambda w, i: f"if({_bit(i)} >> 6 = {w}, shiftleft(1L, {_bit(i)} & 63), 0L)"
         words = [F.expr(f"bit_or({' | '.join(set_(w, i) for i in range(PROBES))})").alias(f"b{w}") for w in range(WORDS)]
-        self._append(prints.groupBy("block").agg(*words), "bloom", "block")
+        self._append(self._placed(prints.select("fp", "block"), "block").groupBy("block").agg(*words), "bloom", "block")
 
     def _block(self) -> Column:
         return F.pmod("fp", F.lit(self.blocks)).cast("int")
@@ -122,7 +125,7 @@ class History:
         """Of ``(rid, kind, fp, chk, n, bits)`` those that the Bloom filters don't rule out, with their block."""
         blocks = self._table("bloom").groupBy("block").agg(*[F.bit_or(f"b{w}").alias(f"b{w}") for w in range(WORDS)])
         blocks = blocks.select("block", F.array(*[f"b{w}" for w in range(WORDS)]).alias("filter"))
-        got = probes.withColumn("block", self._block()).repartition(self.buckets, "block").join(blocks.hint("merge"), "block")
+        got = self._placed(probes.withColumn("block", self._block()), "block").join(blocks.hint("shuffle_hash"), "block")
         got = got.filter(" and ".join(f"shiftright(filter[{_bit(i)} >> 6], {_bit(i)} & 63) & 1L = 1L" for i in range(PROBES)))
         return got.drop("filter")
 
@@ -165,7 +168,7 @@ class History:
         a, b = self._positives(exact.unionByName(winnowed)).alias("a"), self._table("prints").alias("b")
         # of the same block and fingerprint; the rest of the condition is no key, for the tables lie by block
         rest = (F.col("a.kind") - F.col("b.kind") == 0) & ((F.col("a.kind") == WINNOWED) | (F.col("a.chk").bitwiseXOR(F.col("b.chk")) == 0))
-        pairs = a.join(b.hint("merge"), (F.col("a.block") == F.col("b.block")) & (F.col("a.fp") == F.col("b.fp")) & rest)
+        pairs = a.hint("shuffle_hash").join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.fp") == F.col("b.fp")) & rest)
         pairs = pairs.filter((F.col("a.kind") == EXACT) | may_be_alike("a", "b"))
         return pairs.select("a.rid", "a.kind", "b.owner").distinct()
 
@@ -173,7 +176,7 @@ class History:
         """Classes whose text shares the required part of an accepted one."""
         old = self._table("texts").select(F.col("rid").alias("owner"), F.col("canon").alias("old"))
         pairs = found.filter(F.col("kind") == WINNOWED).select(F.col("rid").alias("cls"), "owner")
-        pairs = pairs.join(reps.select("cls", "canon"), "cls").join(old, "owner")
+        pairs = pairs.join(reps.select("cls", "canon"), "cls").hint("shuffle_hash").join(old, "owner")
         return pairs.filter(alike(canonical_set(F.col("canon")), canonical_set(F.col("old")))).select("cls")
 
     def _edges(self, prints: DataFrame, reps: DataFrame) -> DataFrame:
@@ -191,8 +194,7 @@ class History:
     def _decide(self, rest: DataFrame, edges: DataFrame) -> DataFrame:
         """The accepted of the rest, once each: those that share nothing at once, the contested in order."""
         keys = rest.select("rid", F.explode("keys").alias("k"))
-        shared = keys.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k")
-        by_key = keys.join(shared, "k", "left_semi").select("rid")
+        by_key = keys.withColumn("n", F.count("*").over(W.partitionBy("k.fp", "k.chk"))).filter("n > 1").select("rid")
         by_text = rest.join(edges.select(F.col("a").alias("cls")).distinct(), "cls", "left_semi").select("rid")
         marked = rest.join(by_key.unionByName(by_text).distinct().withColumn("contested", F.lit(True)), "rid", "left")
         marked = materialize(marked.withColumn("contested", F.coalesce("contested", F.lit(False))), "marked")
@@ -260,7 +262,7 @@ class History:
             F.col("s").alias("fp"), F.lit(None).cast("long").alias("chk"), F.col("cls").alias("owner"), F.lit(WINNOWED).cast("tinyint").alias("kind"), "n", "bits"
         )
         self._add(exact.unionByName(winnowed))
-        self._append(reps.join(cls, "cls", "left_semi").select(F.col("cls").alias("rid"), "canon"), "texts", "rid")
+        self._append(self._placed(reps.join(cls, "cls", "left_semi").select(F.col("cls").alias("rid"), "canon"), "rid"), "texts", "rid")
 
 
 def refused_records(records: DataFrame, batch: str, excluded: DataFrame, batches_per_ingest: int = 8) -> DataFrame:
