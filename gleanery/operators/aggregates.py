@@ -27,7 +27,7 @@ def progress(df: DataFrame, batch: str, key: str, flags: list[str]) -> DataFrame
 
 
 def duplicate_groups(df: DataFrame, key: str, member: str, listed: int = 20) -> DataFrame:
-    """Keys with more than one member: how many, least and greatest, and the first ``listed`` (a report)."""
+    """Keys with more than one member: how many, least and greatest, and the first ``listed`` (a report; :func:`duplicate_members` has all)."""
     rows = df.filter(F.col(key).isNotNull()).select(key, member).distinct()
     ranked = rows.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy(member))).filter(F.col("_r") <= listed)
     heads = ranked.groupBy(key).agg(F.array_sort(F.collect_list(member)).alias("_l"))
@@ -37,6 +37,16 @@ def duplicate_groups(df: DataFrame, key: str, member: str, listed: int = 20) ->
     )
 
 
+def duplicate_members(df: DataFrame, key: str, member: str) -> DataFrame:
+    """Every member of the keys that have more than one, a row each, with the key's number of members.
+
+    The long form has no list that one key could fill; counts have partial results, and the join splits hot keys.
+    """
+    rows = df.filter(F.col(key).isNotNull()).select(key, F.col(member).alias("member")).distinct()
+    counts = rows.groupBy(key).agg(F.count("*").alias("members")).filter("members > 1")
+    return rows.join(counts, key).select(key, "members", "member")
+
+
 def resolved_label(df: DataFrame, key: str, label: str, verified: list[str]) -> DataFrame:
     """Per key the label that all verified evidence names.
 

@@ -434,6 +434,15 @@ def a06_dup_groups(t, spark):
     return A.duplicate_groups(rows, "content_hash", "entry_id")
 
 
+@query(
+    f"""with r as (select distinct {KEY} as k, entry_id from batch_images)
+select k as content_hash, count(*) over (partition by k) as members, entry_id as member from r where k is not null qualify members > 1"""
+)
+def a06_dup_members(t, spark):
+    rows = t("batch_images").select(cleaned_hash("content_hash").alias("content_hash"), "entry_id")
+    return A.duplicate_members(rows, "content_hash", "entry_id")
+
+
 @query(
     f"""with e as (select {KEY} as k, case when {CLEAN("original_label")} in ('real', '0') then 'real' when {CLEAN("original_label")} in ('fake', '1') then 'fake' end as l from (select distinct record_id, content_hash, original_label from collection_manifest))
 select k as content_hash, case when count(distinct l) = 1 then min(l) else 'unknown' end as label, count(distinct l) as labels, count(l) as evidence,
