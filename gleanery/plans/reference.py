@@ -846,6 +846,21 @@ def x10_joint_grid(t, spark):
     return X.joint_grid(spark, range(0, 21), range(0, 21), range(0, 31), 20, 200)
 
 
+@query(
+    _POLICY
+    + """, g as (select l, m, e, l / 20::double as wl, m / 20::double as wm, e / 200::double as epsilon from range(0, 21) a(l), range(0, 21) b(m), range(0, 31) d(e) where l <= m),
+d as (select l, m, e, wl, wm, epsilon, fake, p_fake >= 0.5 as base, p_fake >= 0.5 - epsilon * (wl * p_low + wm * p_medium + p_high) as said from pr, g),
+s as (select l, m, e, wl, wm, epsilon, count(*) as n, count_if(fake and said) as tp, count_if(fake and not said) as fn, count_if(not fake and said) as fp, count_if(not fake and not said) as tn,
+ count_if(said <> base and said <> fake) as regressions, count_if(base = fake) as right0, count_if(base and fake) as tp0 from d group by all),
+f as (select *, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 12) as f1, round((coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) + coalesce(2 * tn / nullif(2 * tn + fp + fn, 0), 0)) / 2, 12) as f,
+ 100 * (right0 - tp - tn) <= 3 * n and tp >= tp0 as feasible from s)
+select wl as w_low, wm as w_medium, epsilon, round((tp + tn) / n, 6) as accuracy, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) as recall, round(f, 6) as macro_f1, round(f1, 6) as fake_f1, regressions, feasible,
+row_number() over (order by feasible desc, tp desc, f desc, regressions, f1 desc, e, (3 * l - 20) * (3 * l - 20) + (3 * m - 40) * (3 * m - 40), l + m, l, m) as place from f"""
+)
+def x10_joint_search(t, spark):
+    return X.joint_search(_policy_rows(t), range(0, 21), range(0, 21), range(0, 31), 20, 200)
+
+
 @query(
     _POLICY
     + """, b as (select round((0.5 - p_fake) / nullif(0.3 * p_low + 0.5 * p_medium + 0.93 * p_high, 0), 9) as lower from pr),
@@ -878,6 +893,24 @@ def x14_threshold_grid(t, spark):
     return X.threshold_grid(spark)
 
 
+@query(
+    f"""with h as (select {KEY} as k, arg_max(case when public_relevance + harm_urgency + vulnerability <= 1 then 0 when public_relevance + harm_urgency + vulnerability <= 3 then 1 else 2 end, (recorded_at, annotation_id)) as h
+  from annotations where public_relevance between 0 and 2 and harm_urgency between 0 and 2 and vulnerability between 0 and 1 group by 1),
+p as (select k, m.p1 as p1, m.p2 as p2 from (select {KEY} as k, max({{'a': predicted_at, 'p1': prob_medium + prob_high, 'p2': prob_high}}) as m from predictions where prob_medium is not null and prob_high is not null group by 1)),
+g as (select a as i, b as j, round(0.3 + a * 0.02, 2)::double as t1, round(0.3 + b * 0.02, 2)::double as t2 from range(21) x(a), range(21) y(b)),
+d as (select i, j, t1, t2, h as t, case when p1 < t1 then 0 when least(p1, p2) < t2 then 1 else 2 end as p from h join p using (k), g),
+m as (select i, j, t1, t2, c, count_if(t = c and p = c) as hit, count_if(t = c) + count_if(p = c) as either from d, (select unnest([0, 1, 2]) as c) group by all),
+f as (select t1, t2, i, j, round((sum(coalesce(2 * hit / nullif(either, 0), 0) order by c)) / 3, 12) as f from m group by all)
+select t1, t2, round(f, 6) as macro_f1, (abs(i - 10) + abs(j - 10)) / 50 as distance, row_number() over (order by f desc, abs(i - 10) + abs(j - 10), i, j) as place from f"""
+)
+def x14_threshold_search(t, spark):
+    """The human level of an image against its latest prediction, as in A13."""
+    h = t("annotations").select(cleaned_hash("content_hash").alias("k"), R.level_index(R.level(R.score())).alias("t"), "recorded_at", "annotation_id").filter("t is not null")
+    p = t("predictions").select(cleaned_hash("content_hash").alias("k"), (c("prob_medium") + c("prob_high")).alias("p1"), c("prob_high").alias("p2"), "predicted_at")
+    p = V.latest(p.filter("p1 is not null"), "k", ["predicted_at", "p1", "p2"], []).select("k", "p1", "p2")
+    return X.threshold_search(V.latest(h, "k", ["recorded_at", "annotation_id"], ["t"]).select("k", "t").join(p, "k"))
+
+
 @query(
     _POLICY
     + """, g as (select i as step, i * 0.5 / 100 as epsilon from range(101) r(i)),
