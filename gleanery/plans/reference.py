@@ -169,6 +169,15 @@ def p24_confidence_band(t, spark):
 _USABLE = "confidence is not null and not isnan(confidence) and prob_low is not null and prob_medium is not null and prob_high is not null"
 
 
+def _priorities(t):
+    """Every usable prediction with its priority ``s``."""
+    rows = t("predictions").filter("confidence is not null and not isnan(confidence) and prob_low is not null and prob_medium is not null and prob_high is not null")
+    rows = rows.withColumn("d", F.lower(F.trim("source_dataset")))
+    f1 = rows.filter("source_dataset is not null").groupBy("d").agg(F.round(F.avg("prob_high"), 3).alias("f1"))
+    rows = J.with_default(rows, f1, "d", "f1", 1.0)
+    return rows.withColumn("s", R.priority(probs(), c("confidence"), c("f1")))
+
+
 @query(
     f"""with l as (select lower(trim(source_dataset)) as d, round(avg(prob_high), 3) as f1 from predictions where {_USABLE} and source_dataset is not null group by 1),
 x as (select distinct content_hash, model_version, predicted_at, source_dataset, 2 * prob_high + (1 - confidence) + (1 - (list_sort([prob_low, prob_medium, prob_high])[3] - list_sort([prob_low, prob_medium, prob_high])[2]))
@@ -176,15 +185,21 @@ x as (select distinct content_hash, model_version, predicted_at, source_dataset,
 select content_hash, model_version, predicted_at, round(s, 6) as priority from x order by s desc, content_hash, model_version limit 50"""
 )
 def p25_priority_score(t, spark):
-    rows = t("predictions").filter("confidence is not null and not isnan(confidence) and prob_low is not null and prob_medium is not null and prob_high is not null")
-    rows = rows.withColumn("d", F.lower(F.trim("source_dataset")))
-    f1 = rows.filter("source_dataset is not null").groupBy("d").agg(F.round(F.avg("prob_high"), 3).alias("f1"))
-    rows = J.with_default(rows, f1, "d", "f1", 1.0)
-    s = R.priority(probs(), c("confidence"), c("f1"))
-    got = rows.select("content_hash", "model_version", "predicted_at", "source_dataset", s.alias("s")).distinct()
+    """T02 of P25: the report of the 50 rows of highest priority; ``p25_priority_all`` has every row."""
+    got = _priorities(t).select("content_hash", "model_version", "predicted_at", "source_dataset", "s").distinct()
     return got.orderBy(c("s").desc(), "content_hash", "model_version").limit(50).select("content_hash", "model_version", "predicted_at", F.round("s", 6).alias("priority"))
 
 
+@query(
+    f"""with l as (select lower(trim(source_dataset)) as d, round(avg(prob_high), 3) as f1 from predictions where {_USABLE} and source_dataset is not null group by 1)
+select content_hash, model_version, predicted_at, source_dataset, round(2 * prob_high + (1 - confidence) + (1 - (list_sort([prob_low, prob_medium, prob_high])[3] - list_sort([prob_low, prob_medium, prob_high])[2]))
+  + 0.25 * (1 - coalesce(f1, 1.0)), 6) as priority from predictions left join l on l.d = lower(trim(source_dataset)) where {_USABLE}"""
+)
+def p25_priority_all(t, spark):
+    """P25: the priority of every usable row, repeated rows included."""
+    return _priorities(t).select("content_hash", "model_version", "predicted_at", "source_dataset", F.round("s", 6).alias("priority"))
+
+
 @query(
     """with x as (select prob_medium + prob_high as p1, prob_high as p2 from predictions)
 select case when p1 < 0.5 then 'low' when least(p1, p2) < 0.44 then 'medium' else 'high' end as decoded, count(*) as rows from x where p1 is not null and p2 is not null group by 1"""

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions.rubric import ordinal_decode
 from gleanery.operators import aggregates, fusion
+from gleanery.plans import reference
 
 
 def rows(df):
@@ -61,3 +62,13 @@ def test_joint_search_is_the_search_by_hand(spark):
     assert [(r["feasible"], r["macro_f1"], r["regressions"], r["fake_f1"], r["epsilon"], r["w_low"], r["w_medium"]) for r in got] == [
         (not x[0], round(-x[2], 6), x[3], round(-x[4], 6), x[5] / 200, x[8] / 20, x[9] / 20) for x in sorted(want)
     ]
+
+
+def test_priorities_of_all_usable_rows(spark, tmp_path):
+    p = [(f"h{i}", "v1", i, None if i % 7 == 0 else f" D{i % 3}", (float("nan") if i == 3 else None if i == 4 else 0.5), 0.2, 0.3, 0.5 if i != 5 else None) for i in range(80)]
+    df = spark.createDataFrame([*p, p[9]], "content_hash string, model_version string, predicted_at int, source_dataset string, confidence double, prob_low double, prob_medium double, prob_high double")
+    df.write.parquet(f"{tmp_path}/predictions.parquet")
+    got = reference.QUERIES["p25_priority_all"](spark, str(tmp_path)).collect()
+    assert sorted(r["content_hash"] for r in got) == sorted([*(f"h{i}" for i in range(80) if i not in (3, 4, 5)), "h9"])
+    assert {r["content_hash"]: r["priority"] for r in got}["h7"] == 2.3  # no dataset: 1 + 0.5 + 0.8
+    assert {r["content_hash"]: r["priority"] for r in got}["h8"] == 2.425  # f1 0.5
