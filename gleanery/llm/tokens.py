@@ -32,6 +32,7 @@ TOKENIZERS = "/opt/tokenizers"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CLASSES = {"letter": r"\p{L}+", "number": r"\p{N}+", "other": r"[^\s\p{L}\p{N}]+", "space": r"\s+"}
 PIECE_LOOKAHEAD = 3
+CHUNK = 1 << 8  # characters a feed; below the length of most documents
 
 
 def lookahead(ranks: dict[bytes, int]) -> int:
@@ -179,16 +180,15 @@ class Decoder:
         return self.machine.decode(b"", final=True)
 
 
-def encode_stream(vocab: Vocabulary, text: str, chunk: int = 1 << 16) -> Iterator[list[int]]:
+def encode_stream(vocab: Vocabulary, text: str, chunk: int = CHUNK) -> Iterator[list[int]]:
     """The ids of one text, in the order and the portions in which they become final."""
     e = Encoder(vocab, chunk)
-    for i in range(0, len(text) - chunk, chunk):
+    for i in range(0, len(text), chunk):
         yield e.feed(text[i : i + chunk])
-    e.text += text[len(text) - (len(text) - 1) % chunk - 1 :] if text else ""
     yield e.finish()
 
 
-def encode(vocab: Vocabulary, text: str, chunk: int = 1 << 16) -> list[int]:
+def encode(vocab: Vocabulary, text: str, chunk: int = CHUNK) -> list[int]:
     return [t for part in encode_stream(vocab, text, chunk) for t in part]
 
 
