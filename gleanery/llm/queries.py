@@ -32,8 +32,8 @@ def p3_overlap_by_split(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    images = proportions.latest_usable(table(spark, sf, "predictions"))
-    return proportions.availability(images, table(spark, sf, "sample_targets")).filter("available < needed").select("target_id")
+    _, plan = proportions.sample_plan(table(spark, sf, "predictions"), table(spark, sf, "sample_targets"))
+    return plan.filter("shortfall > 0").select("target_id")
 
 
 def p4_targets(spark: SparkSession, sf: str) -> DataFrame:
