@@ -1023,6 +1023,21 @@ def u07_log_prefix(t, spark):
     return J.log_prefix(base, longer, "pos", "q")
 
 
+@query(
+    """with b as (select l_orderkey as pos, sum(l_quantity) as q from lineitem group by 1), t as (select max(l_orderkey) as top from lineitem),
+n as (select pos, case when pos % 501 = 7 then q + 1 else q end as q from b union all select pos + top, q from b, t)
+select count(*) as base_rows, count_if(n.pos is null or b.q is distinct from n.q) as mismatches, count_if(n.pos is null or b.q is distinct from n.q) = 0 as is_prefix from b left join n on b.pos = n.pos"""
+)
+def u07_log_whole(t, spark):
+    """The log of all orders against one with changed positions and as many appended behind its last."""
+    rows = t("lineitem").select(c("l_orderkey").alias("pos"), c("l_quantity").alias("q"))
+    base = rows.groupBy("pos").agg(F.sum("q").alias("q"))
+    top = F.broadcast(rows.agg(F.max("pos").alias("top")))  # one row
+    changed = base.withColumn("q", F.when(c("pos") % 501 == 7, c("q") + 1).otherwise(c("q")))
+    longer = changed.unionByName(base.join(top, F.lit(True)).select((c("pos") + c("top")).alias("pos"), "q"))
+    return J.log_prefix(base, longer, "pos", "q")
+
+
 # ---- histories -----------------------------------------------------------------------------------------------------------
 
 

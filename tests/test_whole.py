@@ -72,3 +72,9 @@ def test_priorities_of_all_usable_rows(spark, tmp_path):
     assert sorted(r["content_hash"] for r in got) == sorted([*(f"h{i}" for i in range(80) if i not in (3, 4, 5)), "h9"])
     assert {r["content_hash"]: r["priority"] for r in got}["h7"] == 2.3  # no dataset: 1 + 0.5 + 0.8
     assert {r["content_hash"]: r["priority"] for r in got}["h8"] == 2.425  # f1 0.5
+
+
+def test_the_whole_log_is_compared(spark, tmp_path):
+    keys = [1, 7, 508, 4_999, 5_518, 9_000, 10_027]  # of these 7, 508, 5518 and 10027 are changed
+    spark.createDataFrame([(k, 2.0) for k in keys for _ in range(3)], "l_orderkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert rows(reference.QUERIES["u07_log_whole"](spark, str(tmp_path))) == [(7, 4, False)]
