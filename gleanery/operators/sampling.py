@@ -115,6 +115,26 @@ def twister_sample(keys: list[str], size: int, seed: int) -> list[str]:
     return random.Random(seed).sample(sorted(keys), size)
 
 
+def twister_strata(df: DataFrame, stratum: str, key: str, order: list[str], size: int, seed: int) -> DataFrame:
+    """X03 in parity mode: ``size`` keys of each stratum, as one ``random.Random(seed)`` samples the strata's sorted
+    keys in the given ``order`` of strata; a stratum of fewer keys gives all, and ``pool`` has their number.
+
+    A sample is of places, whatever the keys, so only the number of keys of each stratum comes to the driver, and the
+    keys are numbered there where they lie.
+    """
+    no = F.create_map(*[F.lit(x) for i, s in enumerate(order) for x in (s, i)])[F.col(stratum)]
+    rows = df.filter(F.col(key).isNotNull() & F.col(stratum).isin(order)).select(stratum, key, no.alias("_no")).distinct()
+    rows = numbered(rows, ["_no", key])
+    counts = {r["_no"]: r["n"] for r in rows.groupBy("_no").agg(F.count("*").alias("n")).collect()}  # a row per stratum
+    rng, before, picks = random.Random(seed), 0, []
+    for i in range(len(order)):
+        n = counts.get(i, 0)
+        picks += [(before + at + 1, place, n) for place, at in enumerate(rng.sample(range(n), min(size, n)), 1)]
+        before += n
+    drawn = df.sparkSession.createDataFrame(picks, "position long, place int, pool long")  # size x strata rows
+    return rows.join(F.broadcast(drawn), "position").select(stratum, "place", key, "pool")
+
+
 def twister_order(keys: list[str], seed: int) -> list[str]:
     """X05 in parity mode: the sorted keys shuffled by ``random.Random(seed)``."""
     out = sorted(keys)

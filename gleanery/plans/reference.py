@@ -840,6 +840,20 @@ def x03_twister_sample(t, spark):
     return spark.createDataFrame([(i, b) for i, b in enumerate(S.twister_sample(batches, min(6, len(batches)), 42))], "place int, batch string")
 
 
+@query()
+def x03_twister_strata(t, spark):
+    """Parity mode over all hashes of the manifest that are not of the development set: 50 of each source and label.
+
+    A hash under several strata is in the first of them.
+    """
+    strata = ["openfake:real", "openfake:fake", "sid-set:real", "sid-set:fake"]
+    rows = t("collection_manifest").select(cleaned_hash("content_hash").alias("content_hash"), F.concat_ws(":", cleaned("source_dataset"), cleaned("normalized_label")).alias("s"))
+    first = rows.select("content_hash", F.array_position(F.array(*[F.lit(s) for s in strata]), c("s")).alias("i")).filter("content_hash is not null and i > 0").groupBy("content_hash").agg(F.min("i").cast("int").alias("i"))
+    dev = t("assignments").filter(cleaned("role") == "gold_development").select(cleaned_hash("content_hash").alias("content_hash")).filter("content_hash is not null").distinct()
+    pools = first.join(dev, "content_hash", "left_anti").withColumn("stratum", F.element_at(F.array(*[F.lit(s) for s in strata]), c("i")))
+    return S.twister_strata(pools, "stratum", "content_hash", strata, 50, 42)
+
+
 # ---- search --------------------------------------------------------------------------------------------------------
 
 

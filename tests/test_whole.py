@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from gleanery.functions.rubric import ordinal_decode
-from gleanery.operators import aggregates, fusion
+from gleanery.operators import aggregates, fusion, sampling
 from gleanery.plans import reference
 
 
@@ -78,3 +78,12 @@ def test_the_whole_log_is_compared(spark, tmp_path):
     keys = [1, 7, 508, 4_999, 5_518, 9_000, 10_027]  # of these 7, 508, 5518 and 10027 are changed
     spark.createDataFrame([(k, 2.0) for k in keys for _ in range(3)], "l_orderkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
     assert rows(reference.QUERIES["u07_log_whole"](spark, str(tmp_path))) == [(7, 4, False)]
+
+
+def test_twister_strata_are_the_reference_split(spark):
+    pools = {"b": [f"{i * 7919 % 1000:03}" for i in range(400)], "a": [f"x{i:02}" for i in range(60)], "c": ["k1", "k2"]}
+    df = spark.createDataFrame([(s, k) for s, ks in pools.items() for k in [*ks, ks[0]]] + [("z", "k"), ("a", None)], "s string, k string")
+    rng, want = random.Random(42), []
+    for s in ("b", "a", "c"):
+        want += [(s, i, k, len(pools[s])) for i, k in enumerate(rng.sample(sorted(pools[s]), min(50, len(pools[s]))), 1)]
+    assert rows(sampling.twister_strata(df, "s", "k", ["b", "a", "c"], 50, 42)) == sorted(want)
