@@ -21,7 +21,7 @@ from gleanery.operators import metrics as M
 from gleanery.operators import relations as J
 from gleanery.operators import review as V
 from gleanery.operators import sampling as S
-from gleanery.session import scratch, table
+from gleanery.session import discard, scratch, table
 from gleanery.streaming import collect
 from gleanery.streaming.runtime import stream_files
 
@@ -1120,11 +1120,22 @@ def _r03(spark: SparkSession, sf: str) -> DataFrame:
     return collect.distinct_keys(stream_files(spark, f"{sf}/events.parquet"), ["user_id", "event_type"])
 
 
-def _r04(spark: SparkSession, sf: str) -> DataFrame:
-    stream = stream_files(spark, f"{sf}/collection_manifest.parquet", 1 << 40)  # one batch, so that the order is that of the table
-    rows = stream.select(cleaned_hash("content_hash").alias("k"), "normalized_label", "batch_no", "stream_position")
-    out = scratch(spark, "collected")
-    collect.collect_stream(rows, out, key="k", label="normalized_label", order=["batch_no", "stream_position"], quotas={"real": 400, "fake": 500}, target=800)
+def _r04(spark: SparkSession, sf: str, stages: int = 5) -> DataFrame:
+    """The manifest arrives in ``stages`` runs of batches; the stream is resumed after each from its checkpoint, and
+    goes on from what the micro-batches before accepted."""
+    rows = table(spark, sf, "collection_manifest").select(cleaned_hash("content_hash").alias("k"), "normalized_label", "batch_no", "stream_position")
+    numbers = sorted(r[0] for r in rows.select("batch_no").distinct().collect() if r[0] is not None)  # the list of batches
+    source, out, checkpoint = scratch(spark, "arrived"), scratch(spark, "collected"), scratch(spark, "checkpoint")
+    size = max(1, -(-len(numbers) // stages))
+    for i in range(0, max(1, len(numbers)), size):
+        now = c("batch_no").isin(numbers[i : i + size])
+        rows.filter(now if i else now | c("batch_no").isNull()).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(rows.schema).parquet(source)
+        collect.collect_stream(
+            stream, out, key="k", label="normalized_label", order=["batch_no", "stream_position"], quotas={"real": 400, "fake": 500}, target=800, checkpoint=checkpoint
+        )
+    discard(source)
+    discard(checkpoint)
     return spark.read.parquet(out).select("batch_no", "stream_position", "normalized_label")
 
 
