@@ -8,17 +8,18 @@ that setting is absent, as in tests.
 from __future__ import annotations
 
 import atexit
-import gc
-import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
-from urllib.parse import urlparse
 
+from py4j.protocol import Py4JError
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+# shuffle files go when the query that wrote them ends, not when the driver happens to collect garbage
+CLEANUP = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
 def session(app: str = "gleanery", cores: int = 8, partitions: int | None = None) -> SparkSession:
@@ -43,16 +44,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _remove(path: str) -> None:
-    u = urlparse(path)
-    if u.scheme in ("", "file"):
-        shutil.rmtree(u.path, ignore_errors=True)
+    """Delete a folder on whatever file system its path names; one that is gone already is fine."""
+    context = SparkContext._active_spark_context
+    if context is None:
+        return
+    try:
+        at = context._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+    except (Py4JError, OSError):  # the session has ended
+        return
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; on a local master, where it is unset, one of our own.
+
+    On a cluster a folder of one machine would be read by others in vain, so there the setting must be given.
+    """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="gleanery-")
@@ -90,16 +102,15 @@ _open: list[list[str]] = []
 
 @contextmanager
 def temporaries(spark: SparkSession) -> Iterator[None]:
-    """Tables that :func:`materialize` writes inside are removed at the end, but for those to be kept, and so are
-    the shuffle files of what no longer refers to them, which else stay until the driver collects garbage."""
+    """Tables that :func:`materialize` writes inside are removed at the end, but for those to be kept; shuffle files
+    of the queries inside go with each query, so a frame may be run once only."""
     _open.append([])
     try:
-        yield
+        with settings(spark, CLEANUP):
+            yield
     finally:
         for path in _open.pop():
             discard(path)
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
 
 
 def materialize(df: DataFrame, what: str, partitions: int | None = None, keep: bool = False) -> DataFrame:
