@@ -1,39 +1,53 @@
-"""Deduplicating new batches against everything accepted before, without reading the history's records.
-
-A :class:`History` is a persistent store of three tables, appended to by each ingest:
-
-* ``prints`` - fingerprints of accepted records, bucketed by Bloom block: exact keys, and of each text the
-  winnowed shingle hashes.  Winnowing by position only promises to find long common runs; here the window
-  lies over the set in a fixed order, which promises a common fingerprint for any two sets with the
-  required share in common (the signatures of :mod:`gleanery.llm.shingles`);
-* ``texts`` - the canonical text of accepted records, bucketed by record, read only to verify coverage;
-* ``bloom`` - Bloom filters partitioned into blocks of 512 bits, bucketed by block.
-
-An ingest probes the blocks with its own fingerprints, looks positives up among the prints, verifies the
-shared coverage of the candidates, decides the batch in order, and appends what it accepted.  Bucketed
-tables are joined where they lie: only what belongs to the batch is shuffled.  A list of excluded keys is
-put into the same store before the first batch.
+"""Deduplicating new batches against everything accepted before, without reading the history.
+
+A :class:`History` is a persistent store at a path, opened again by :meth:`History.open`.  Its three parts lie in
+buckets of segments (:mod:`gleanery.llm.fingerprints`), each behind Bloom filters:
+
+* ``keys`` - 128 bits of hash of the exact keys of accepted records, and of excluded keys;
+* ``prints`` - fingerprints of texts: the winnowed shingle hashes, with a mark of the set and the text they are from.
+  Winnowing by position only promises to find long common runs; here the window lies over the set in a fixed order,
+  which promises a common fingerprint for any two sets with the required share in common (the signatures of
+  :mod:`gleanery.llm.shingles`);
+* ``texts`` - the canonical text of accepted records, read only to verify the coverage of a candidate.
+
+An ingest takes one batch.  One exchange brings the batch's keys and prints to their buckets, where the filters
+prescreen them, positives are looked up, what is repeated within the batch is found, and the prints are appended.
+Candidates are verified by their texts; a print of a text that wasn't accepted finds none and counts for nothing.
+The rest is decided in order, and keys and texts of what is accepted are appended.  Then one commit, a file that names
+all live segments, makes the ingest part of the history; an ingest that broke off before left nothing, one that is
+run again after its commit returns what it returned.
+
+The order of shingles, which decides cost and never results, is part of the store.  It is fitted anew, and the prints
+made again from the texts, when the history has grown :data:`REFIT`-fold, which amortises, and when an element taken
+for rare turns out to be frequent, so that a template that appears late doesn't stay one long list.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gleanery.llm.shingles import alike, canonical, canonical_set, fit_order, may_be_alike, signatures
-from gleanery.session import discard, materialize, scratch, settings, temporaries
+from gleanery.llm import fingerprints as P
+from gleanery.llm.shingles import DEN, NUM, SINGLE, _keys, _mix, alike, canonical, canonical_set, fit_order
+from gleanery.session import discard, materialize, scratch, temporaries
 
-EXACT, WINNOWED = 0, 1
-PROBES, WORDS = 4, 8  # bits set per fingerprint; longs per block of 512 bits
-RARE = 2  # shingles that the first ingest has at most so often sign alone
-# rows that lie by block may be joined by block and fingerprint where they are
-BY_BLOCK = {"spark.sql.requireAllClusterKeysForCoPartition": "false"}
+EXACT, TEXT = 0, 9  # kinds of rows that go to a bucket, beside the forms of signatures
+KNOWN, REPEATED, CANDIDATE, MEMBER, NOTE = range(5)  # kinds of rows that come from it
+RARE = 2  # shingles that the fitted texts have at most so often sign alone
+HOT = 64  # texts under an element taken for rare, from which the order is fitted anew
+REFIT = 4
+SLICES = 8  # tasks that may share the verification against the texts of one bucket
+MARK_BITS = 48
+ROWS = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("fp", pa.int64()), ("x", pa.int64()), ("ref", pa.int64())])
+ROWS_DDL = "bucket int, kind tinyint, fp bigint, x bigint, ref bigint"
+HITS = pa.schema([("kind", pa.int8()), ("fp", pa.int64()), ("x", pa.int64()), ("ref", pa.int64()), ("other", pa.int64()), ("note", pa.string())])
+HITS_DDL = "kind tinyint, fp bigint, x bigint, ref bigint, other bigint, note string"
 
 
 def exact_key(kind: str, *parts: Column) -> Column:
@@ -45,248 +59,532 @@ def exact_key(kind: str, *parts: Column) -> Column:
 
 
 def prepared(df: DataFrame, *, row_id: Column, order: list[Column], keys: list[Column], text: Column, keep: list[str]) -> DataFrame:
-    """``rid, ord, keys, tfp, tchk, canon`` and the columns to ``keep`` of records.
+    """``rid, ord, keys, cls, canon`` and the columns to ``keep`` of records.
 
-    ``canon`` is the canonical text, null where it has no shingle; its own hash is one more exact key.  Null
+    ``canon`` is the canonical text, null where it has no shingle; ``cls``, its hash, is one more exact key.  Null
     parts of the order come first; repeated rows are one record.  A null row id is no record.
     """
     rows = df.select(
         *keep, row_id.alias("rid"), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], row_id.alias("rid")).alias("ord"),
         F.array(*keys).alias("keys"), text.alias("text"),
     ).filter("rid is not null")
-    rows = rows.withColumn("canon", canonical(F.col("text")))
-    own = exact_key("text", F.col("canon"))
-    return rows.select(
-        *keep, "rid", "ord", F.filter(F.concat("keys", F.array(own)), lambda k: k.isNotNull()).alias("keys"),
-        own["fp"].alias("tfp"), own["chk"].alias("tchk"), "canon",
-    )
+    rows = rows.withColumn("canon", canonical(F.col("text"))).withColumn("cls", exact_key("text", F.col("canon")))
+    return rows.select(*keep, "rid", "ord", F.filter(F.concat("keys", F.array("cls")), lambda k: k.isNotNull()).alias("keys"), "cls", "canon")
+
+
+def marks(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A bit for each element of a set, by its hash, and the set's size in the lowest 16 bits."""
+    out = np.zeros(len(sizes), np.uint64)
+    some = sizes > 0
+    if len(flat):
+        one = np.uint64(1) << ((_mix(flat.view(np.uint64)) >> np.uint64(20)) % np.uint64(MARK_BITS))
+        out[some] = np.bitwise_or.reduceat(one, (np.cumsum(sizes) - sizes)[some])
+    return (out << np.uint64(16) | np.minimum(sizes, 0xFFFF).astype(np.uint64)).view(np.int64)
+
+
+def marks_allow(a: np.ndarray, b: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
+    """What two marks allow: alike sets differ in at most ``(den - num) / (den + num)`` of their sizes' sum, and in
+    at least as many elements as their bits do.  The size 65,535 stands for any from there on."""
+    na, nb = a & 0xFFFF, b & 0xFFFF
+    apart = np.bitwise_count((a ^ b).view(np.uint64) >> np.uint64(16)).astype(np.int64)
+    ok = (na * den >= nb * num) & (nb * den >= na * num) & (apart * (num + den) <= (na + nb) * (den - num))
+    return ok | (na == 0xFFFF) | (nb == 0xFFFF)
+
+
+def _marks_allow(a: Column, b: Column, num: int = NUM, den: int = DEN) -> Column:
+    """:func:`marks_allow` as an expression."""
+    na, nb = a.bitwiseAND(0xFFFF), b.bitwiseAND(0xFFFF)
+    apart = F.bit_count(F.shiftrightunsigned(a.bitwiseXOR(b), 16))
+    ok = (na * den >= nb * num) & (nb * den >= na * num) & (apart * (num + den) <= (na + nb) * (den - num))
+    return ok | (na == 0xFFFF) | (nb == 0xFFFF)
+
+
+def _triples(text: str) -> set[tuple[str, str, str]]:
+    w = text.split(" ")
+    return set(zip(w, w[1:], w[2:]))
+
+
+def _share(a: set, b: set) -> bool:
+    both = len(a & b)
+    return both * DEN >= (len(a) + len(b) - both) * NUM
+
+
+def _together(*calls: Callable) -> list:
+    """Results of calls that start jobs and don't depend on one another, run at the same time."""
+    with ThreadPoolExecutor(len(calls)) as pool:
+        return [f.result() for f in [pool.submit(c) for c in calls]]
+
+
+def _table(schema: pa.Schema, **cols) -> pa.RecordBatch:
+    n = max(len(v) for v in cols.values())
+    return pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+
+def _group_starts(*cols: np.ndarray) -> np.ndarray:
+    """Where a new combination begins in sorted columns."""
+    new = np.ones(len(cols[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
+    return np.flatnonzero(new)
+
+
+def _rows_of(buckets: int, root: str, order: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Keys and prints of records ``(rid, keys, id, set)``; of what is repeated in an Arrow batch only the least and the
+    greatest record, and each text once, so that a key or text that a third of the rows have sends a few rows a task."""
+
+    def run(batches):
+        counts = P.numbers(root, order)
+        for b in batches:
+            lists = b.column("keys")
+            parts = lists.flatten()
+            if len(parts):
+                fp, chk = parts.field("fp").to_numpy(), parts.field("chk").to_numpy()
+                rid = np.repeat(b.column("rid").to_numpy(), np.diff(lists.offsets.to_numpy()))
+                by = np.lexsort((rid, chk, fp))
+                fp, chk, rid = fp[by], chk[by], rid[by]
+                first = _group_starts(fp, chk)
+                last = np.r_[first[1:], len(fp)] - 1
+                pick = np.unique(np.concatenate([first, last[rid[last] != rid[first]]]))
+                yield _table(ROWS, bucket=fp[pick] % buckets, kind=np.full(len(pick), EXACT), fp=fp[pick], x=chk[pick], ref=rid[pick])
+            some = b.filter(b.column("set").is_valid())
+            if some.num_rows:
+                ids = some.column("id").to_numpy()
+                some = some.take(pa.array(np.unique(ids, return_index=True)[1]))
+                ids, lists = some.column("id").to_numpy(), some.column("set")
+                sizes, flat = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
+                row, key, form = _keys(flat, sizes, counts, RARE, False, NUM, DEN)
+                yield _table(ROWS, bucket=key % buckets, kind=form, fp=key, x=marks(flat, sizes)[row], ref=ids[row])
+
+    return run
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """The rows of one bucket after the other; they come sorted by bucket."""
+    held, at = [], None
+    for b in batches:
+        which = b.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(which[1:] != which[:-1]) + 1), len(which)]
+        for s, e in zip(cuts, cuts[1:]):
+            if s == e:
+                continue
+            if held and which[s] != at:
+                yield at, pa.Table.from_batches(held)
+                held = []
+            at = int(which[s])
+            held.append(b.slice(s, e - s))
+    if held:
+        yield at, pa.Table.from_batches(held)
+
+
+def _looked_up(root: str, live: P.Live, fp: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], int]:
+    """Of sorted distinct fingerprints all prints: number of the key and columns; and how many prints were read."""
+    key, cols, read = [], [], 0
+    for name, _, _ in live:
+        s = P.Segment(root, name)
+        k, c = s.find(fp.view(np.uint64))
+        read += s.touched
+        if len(k):
+            key.append(k)
+            cols.append(c)
+    if not key:
+        return np.zeros(0, np.int64), [], read
+    return np.concatenate(key), [np.concatenate(x) for x in zip(*cols)], read
+
+
+def _probe_bucket(root: str, bucket: int, rows: pa.Table, live: dict[str, P.Live], fit_only: bool) -> Iterator[pa.RecordBatch]:
+    """Look the rows of a bucket up, find what is repeated among them, and append the prints."""
+    kind, fp, x, ref = (rows.column(c).to_numpy() for c in ("kind", "fp", "x", "ref"))
+    note = {"bucket": bucket, "probes": 0, "read": 0, "candidates": 0, "members": 0, "known": 0, "repeated": 0, "hot": 0}
+    keys = kind == EXACT
+    if keys.any():
+        f, c, r = fp[keys], x[keys], ref[keys]
+        by = np.lexsort((r, c, f))
+        f, c, r = f[by], c[by], r[by]
+        first = _group_starts(f, c)
+        several = r[np.r_[first[1:], len(f)] - 1] != r[first]
+        f, c = f[first], c[first]
+        own = np.argsort(f.view(np.uint64), kind="stable")
+        f, c, several = f[own], c[own], several[own]
+        probe, back = np.unique(f.view(np.uint64), return_inverse=True)
+        k, cols, read = _looked_up(root, live["keys"], probe.view(np.int64))
+        known = np.zeros(len(f), bool)
+        if len(k):
+            there = set(zip(probe[k].view(np.int64).tolist(), cols[0].tolist()))
+            known = np.fromiter(((a, b) in there for a, b in zip(f.tolist(), c.tolist())), bool, len(f))
+        note |= {"probes": len(f), "read": read, "known": int(known.sum()), "repeated": int((several & ~known).sum())}
+        out = known | several
+        if out.any():
+            yield _table(HITS, kind=np.where(known, KNOWN, REPEATED)[out], fp=f[out], x=c[out])
+    if not keys.all():
+        f, m, r, k = fp[~keys], x[~keys], ref[~keys], kind[~keys]
+        by = np.lexsort((r, f.view(np.uint64)))
+        f, m, r, k = f[by], m[by], r[by], k[by]
+        one = _group_starts(f, r)
+        f, m, r, k = f[one], m[one], r[one], k[one]
+        begin = _group_starts(f)
+        size = np.diff(np.r_[begin, len(f)])
+        mine = np.repeat(np.arange(len(begin)), size)
+        old = np.zeros(len(begin), np.int64)
+        if not fit_only:
+            key, cols, read = _looked_up(root, live["prints"], f[begin])
+            note["read"] += read
+            note["probes"] += len(begin)
+            if len(key):
+                old = np.bincount(key, minlength=len(begin))
+                # each print of the history with each text of the batch that has the fingerprint
+                times = size[key]
+                at = np.repeat(begin[key], times) + np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+                mark, owner = np.repeat(cols[0], times), np.repeat(cols[1], times)
+                ok = marks_allow(m[at], mark)
+                a, b = np.unique(np.stack([r[at][ok], owner[ok]]), axis=1)
+                note["candidates"] = len(a)
+                if len(a):
+                    yield _table(HITS, kind=np.full(len(a), CANDIDATE), ref=a, other=b)
+            again = (size > 1)[mine]
+            note["members"] = int(again.sum())
+            if again.any():
+                yield _table(HITS, kind=np.full(note["members"], MEMBER), fp=f[again], x=m[again], ref=r[again])
+            note["hot"] = int(((old + size > HOT) & (k[begin] == SINGLE)).sum())
+        note["prints"], note["rewritten"] = P.append(root, "prints", [] if fit_only else live["prints"], f.view(np.uint64), [m, r])
+    yield _table(HITS, kind=[NOTE], note=[json.dumps(note)])
+
+
+def _add_bucket(root: str, bucket: int, rows: pa.Table, live: dict[str, P.Live]) -> dict:
+    """Append exact keys, and texts with their bytes."""
+    note: dict = {"bucket": bucket}
+    kind, fp, x = (rows.column(c).to_numpy() for c in ("kind", "fp", "x"))
+    keys = kind == EXACT
+    f, c = fp[keys], x[keys]
+    by = np.lexsort((c, f))
+    one = by[_group_starts(f[by], c[by])] if len(by) else by
+    note["keys"], _ = P.append(root, "keys", live["keys"], f[one].view(np.uint64), [c[one]])
+    texts = dict.fromkeys(zip(fp[~keys].tolist(), rows.column("text").filter(pa.array(~keys)).to_pylist()))
+    blobs = [t.encode() for _, t in texts]
+    size = np.array([len(b) for b in blobs], np.int64)
+    note["texts"], _ = P.append(
+        root, "texts", live["texts"], np.array([i for i, _ in texts], np.int64).view(np.uint64), [np.cumsum(size) - size, size], b"".join(blobs)
+    )
+    return note
 
 
-def _bit(i: int) -> str:
-    """SQL of the place in its block of the i-th bit of a fingerprint."""
-    return f"cast(shiftrightunsigned(xxhash64(fp), {9 * i}) & 511 as int)"
+class History:
+    """The persistent store of accepted records at ``path``; see the module's text.  One writer at a time.
 
+    ``buckets``, fixed when the store is created, is the number of shares that tasks handle as a whole: a batch's share
+    must fit a task's memory.  ``stats`` has a row for each ingest since the store was opened: fingerprints probed,
+    prints of the history read for them, prints and texts there.
+    """
 
-def _exact() -> list[Column]:
-    """The columns of an exact key's print beside its hashes."""
-    return [F.lit(None).cast("long").alias("owner"), F.lit(EXACT).cast("tinyint").alias("kind"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("bits")]
+    def __init__(self, spark: SparkSession, path: str, state: dict):
+        self.spark, self.path, self.state = spark, path, state
+        self.buckets: int = state["buckets"]
+        self.root = f"{path}/store"
+        self.stats: list[dict] = []
+        self._stale: list[str] = []
+
+    @classmethod
+    def create(cls, spark: SparkSession, path: str, buckets: int) -> History:
+        """A new, empty store."""
+        state = {"version": 0, "buckets": buckets, "order": None, "fitted": 0, "texts": 0, "ingests": {}, "live": {}}
+        store = cls(spark, path, state)
+        store._write_commit()
+        return store
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> History:
+        """The store as its last commit left it; files that no commit names are removed."""
+        root = f"{path}/store"
+        commits = [n for n in P.names(root, "commits") if n.endswith(".json")]
+        if not commits:
+            raise FileNotFoundError(f"no store at {path}")
+        store = cls(spark, path, json.loads(P.get(root, f"commits/{commits[-1]}")))
+        live = {s[0] for b in store.state["live"].values() for kind in b.values() for s in kind} | {store.state["order"]}
+        for kind in ("keys", "prints", "texts", "orders"):
+            for n in P.names(root, kind):
+                if f"{kind}/{n}" not in live:
+                    P.drop(root, f"{kind}/{n}")
+        return store
 
+    def drop(self) -> None:
+        """Remove the store; what ingests have returned stays readable."""
+        discard(self.root)
+
+    # ---- commits ------------------------------------------------------------------------------------------
+
+    def _write_commit(self) -> None:
+        P.put(self.root, self._commit(), [json.dumps(self.state).encode()])
+
+    def _commit(self) -> str:
+        return f"commits/{self.state['version']:010d}.json"
+
+    def _committed(self, name: str | None, live: dict[str, dict[str, P.Live]], **more) -> None:
+        old = {s[0] for b in self.state["live"].values() for kind in b.values() for s in kind}
+        before = self._commit()
+        ingests = self.state["ingests"] if name is None else self.state["ingests"] | {name: f"refused/{name}"}
+        self.state = self.state | {"version": self.state["version"] + 1, "live": live, "ingests": ingests} | more
+        self._write_commit()
+        now = {s[0] for b in live.values() for kind in b.values() for s in kind}
+        for n in [*(old - now), *(set(self._stale) - now), before]:
+            P.drop(self.root, n)
+        self._stale = []
+
+    def _with(self, live: dict, notes: list[dict], kinds: tuple[str, ...]) -> dict:
+        """The live segments after what tasks report."""
+        out = dict(live)
+        for n in notes:
+            b = str(n["bucket"])
+            empty = {"keys": [], "prints": [], "texts": []}
+            out[b] = empty | out.get(b, {}) | {k: n[k] for k in kinds if k in n}
+        return out
+
+    # ---- tasks --------------------------------------------------------------------------------------------
+
+    def _by_bucket(self, rows: DataFrame) -> DataFrame:
+        return rows.repartition(self.buckets, "bucket").sortWithinPartitions("bucket")
+
+    def _probe(self, batch: DataFrame, order: str) -> tuple[DataFrame, list[dict]]:
+        """What the buckets find for a batch, and their notes (a row a bucket)."""
+        records = batch.select("rid", "keys", F.col("cls.fp").alias("id"), canonical_set(F.col("canon")).alias("set"))
+        hits = materialize(self._in_buckets(records, order, self.state["live"], False), "hits")
+        return hits, self._notes(hits)
 
-class History:
-    """The persistent store of accepted records at ``path``; see the module's text.
+    @staticmethod
+    def _notes(hits: DataFrame) -> list[dict]:
+        return [json.loads(r["note"]) for r in hits.filter(F.col("kind") == NOTE).select("note").collect()]
 
-    ``buckets`` is the number of buckets of its tables, ``blocks`` that of Bloom blocks (about ten bits per
-    expected fingerprint keep false positives near one in a hundred; with fewer the result stays the same).
-    ``sequential_rows`` bounds the contested records that one task decides in order; above it, rounds that
-    are distributed decide until no more are left.
-    """
+    def _in_buckets(self, records: DataFrame, order: str, live: dict, fit_only: bool) -> DataFrame:
+        root, commit, buckets = self.root, self._commit(), self.buckets
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int, blocks: int, sequential_rows: int = 200_000):
-        self.spark, self.path, self.buckets, self.blocks, self.sequential_rows = spark, path, buckets, blocks, sequential_rows
-        self.name = f"history_{uuid.uuid4().hex[:12]}"
-        self.order: np.ndarray | None = None
-        self._append(self._placed(spark.createDataFrame([], "rid long, canon string"), "rid"), "texts", "rid")
+        def run(batches):
+            now = P.document(root, commit)["live"]
+            for b, rows in _buckets(batches):
+                yield from _probe_bucket(root, b, rows, now.get(str(b), {"keys": [], "prints": [], "texts": []}), fit_only)
 
-    # ---- tables -------------------------------------------------------------------------------------------
+        return self._by_bucket(records.mapInArrow(_rows_of(buckets, root, order), ROWS_DDL)).mapInArrow(run, HITS_DDL)
 
-    def _append(self, df: DataFrame, what: str, by: str) -> None:
-        """Append rows that :meth:`_placed` has put where their bucket is: one file a bucket and ingest."""
-        (
-            df.write.format("parquet").bucketBy(self.buckets, by).mode("append").option("path", f"{self.path}/{what}").option("compression", "zstd")
-            .saveAsTable(f"{self.name}_{what}")
-        )
+    def _add(self, rows: DataFrame) -> list[dict]:
+        """Append ``(bucket, kind, fp, x, text)``; the notes of the buckets."""
+        root, commit = self.root, self._commit()
 
-    def _placed(self, df: DataFrame, by: str) -> DataFrame:
-        """An exchange that hashes as the buckets do."""
-        return df.repartition(self.buckets, by)
+        def run(batches):
+            now = P.document(root, commit)["live"]
+            for b, part in _buckets(batches):
+                note = _add_bucket(root, b, part, now.get(str(b), {"keys": [], "prints": [], "texts": []}))
+                yield pa.RecordBatch.from_arrays([pa.array([json.dumps(note)])], names=["note"])
 
-    def _table(self, what: str) -> DataFrame:
-        return self.spark.table(f"{self.name}_{what}")
+        return [json.loads(r["note"]) for r in self._by_bucket(rows).mapInArrow(run, "note string").collect()]  # a row a bucket
 
-    def drop(self) -> None:
-        """Remove the store and its files."""
-        for what in ("prints", "texts", "bloom"):
-            self.spark.sql(f"drop table if exists {self.name}_{what}")
-        discard(self.path)
-
-    # ---- fingerprints -------------------------------------------------------------------------------------
-
-    def _add(self, prints: DataFrame) -> None:
-        prints = prints.withColumn("block", self._block())
-        self._append(self._placed(prints, "block"), "prints", "block")
-        set_ = lambda w, i: f"if({_bit(i)} >> 6 = {w}, shiftleft(1L, {_bit(i)} & 63), 0L)"
-        words = [F.expr(f"bit_or({' | '.join(set_(w, i) for i in range(PROBES))})").alias(f"b{w}") for w in range(WORDS)]
-        self._append(self._placed(prints.select("fp", "block"), "block").groupBy("block").agg(*words), "bloom", "block")
-
-    def _block(self) -> Column:
-        return F.pmod("fp", F.lit(self.blocks)).cast("int")
-
-    def _positives(self, probes: DataFrame) -> DataFrame:
-        """Of ``(rid, kind, fp, chk, n, bits)`` those that the Bloom filters don't rule out, with their block."""
-        blocks = self._table("bloom").groupBy("block").agg(*[F.bit_or(f"b{w}").alias(f"b{w}") for w in range(WORDS)])
-        blocks = blocks.select("block", F.array(*[f"b{w}" for w in range(WORDS)]).alias("filter"))
-        got = self._placed(probes.withColumn("block", self._block()), "block").join(blocks.hint("shuffle_hash"), "block")
-        got = got.filter(" and ".join(f"shiftright(filter[{_bit(i)} >> 6], {_bit(i)} & 63) & 1L = 1L" for i in range(PROBES)))
-        return got.drop("filter")
+    def _bucket(self, fp: str) -> Column:
+        return F.pmod(F.col(fp), F.lit(self.buckets)).cast("int").alias("bucket")
 
     def exclude(self, keys: DataFrame) -> None:
         """Refuse every record that has one of ``keys`` (column ``key``: :func:`exact_key`); nulls are ignored."""
-        self._add(keys.filter("key is not null").select("key.fp", "key.chk").distinct().select("fp", "chk", *_exact()))
+        rows = keys.filter("key is not null").select("key.fp", "key.chk").distinct()
+        rows = rows.select(self._bucket("fp"), F.lit(EXACT).cast("tinyint").alias("kind"), "fp", F.col("chk").alias("x"), F.lit(None).cast("string").alias("text"))
+        self._committed(None, self._with(self.state["live"], self._add(rows), ("keys",)))
+
+    # ---- the order of shingles ----------------------------------------------------------------------------
+
+    def _texts(self) -> DataFrame:
+        """``(id, canon)`` of all accepted texts."""
+        root = self.root
+        files = [s[0] for b in self.state["live"].values() for s in b["texts"]]
+
+        def run(batches):
+            for b in batches:
+                for name in b.column(0).to_pylist():
+                    s = P.Segment(root, name)
+                    ids, (at, size) = s.all()
+                    data = s.bytes()
+                    texts = [data[a : a + n].decode() for a, n in zip(at.tolist(), size.tolist())]
+                    for i in range(0, len(texts), 4096):
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 4096].view(np.int64)), pa.array(texts[i : i + 4096])], names=["id", "canon"])
+
+        names = self.spark.createDataFrame([(n,) for n in files], "name string")
+        return names.repartition(max(1, min(len(files), self.buckets))).mapInArrow(run, "id bigint, canon string")
+
+    def _fit(self, batch: DataFrame) -> str:
+        """Fit the order to the history and the batch, make the history's prints anew by it, and commit both."""
+        fresh = batch.filter("canon is not null").select("canon")
+        count = lambda df: df.select(canonical_set(F.col("canon")).alias("set"))
+        name = f"orders/{self.state['version'] + 1:010d}"
+        texts = self.state["texts"]
+        old = [self._texts().select("canon")] if texts else []
+        P.put(self.root, name, [fit_order(count(old[0].unionByName(fresh) if old else fresh), "set").tobytes()])
+        live = {b: v | {"prints": []} for b, v in self.state["live"].items()}
+        if texts:
+            nothing = F.array().cast("array<struct<fp:bigint,chk:bigint>>")
+            records = self._texts().select(F.lit(0).cast("bigint").alias("rid"), nothing.alias("keys"), "id", canonical_set(F.col("canon")).alias("set"))
+            notes = self._notes(materialize(self._in_buckets(records, name, live, True), "prints"))
+            live = self._with(live, notes, ("prints",))
+        before = self.state["order"]
+        self._committed(None, live, order=name, fitted=texts)
+        if before:
+            P.drop(self.root, before)
+        return name
 
     # ---- ingest -------------------------------------------------------------------------------------------
 
-    def ingest(self, batch: DataFrame) -> DataFrame:
+    def ingest(self, batch: DataFrame, name: str) -> DataFrame:
         """Decide ``batch`` (:func:`prepared`, as a table), add what is accepted and return the refused ``rid``.
 
-        The result is that of taking the records one by one in their order.
+        The result is that of taking the records one by one in their order.  ``name`` is the batch's own: ingested
+        once, it returns the same rows again.
         """
+        out = f"{self.path}/refused/{name}"
+        if name in self.state["ingests"]:
+            return self.spark.read.schema("rid bigint").parquet(out)
         with temporaries(self.spark):
-            reps = materialize(
-                batch.filter("canon is not null").groupBy("tfp", "tchk").agg(F.min(F.struct("ord", "canon")).alias("m"))
-                .select("tfp", "tchk", F.col("m.ord.rid").alias("cls"), F.col("m.canon").alias("canon")),
-                "classes",
-            )
-            sets = reps.select("cls", canonical_set(F.col("canon")).alias("set"))
-            if self.order is None:  # decides the cost only; any fixed order gives the same result
-                self.order = fit_order(sets, "set")
-            prints = materialize(signatures(sets, ["cls"], "set", self.order, RARE), "winnowed")
-            with settings(self.spark, BY_BLOCK):
-                found = materialize(self._look_up(batch, prints), "found")
-            rows = batch.select("rid", "ord", "keys", "tfp", "tchk").join(reps.select("tfp", "tchk", "cls"), ["tfp", "tchk"], "left")
-            known = found.filter(F.col("kind") == EXACT).select("rid")
-            rest = rows.join(known, "rid", "left_anti").join(self._covered(found, reps), "cls", "left_anti")
-            rest = materialize(rest.select("rid", "ord", "keys", "cls"), "rest")
-            edges = materialize(self._edges(prints.join(rest.select("cls"), "cls", "left_semi"), reps), "edges")
-            accepted = materialize(self._decide(rest, edges), "accepted")
-            self._remember(accepted, reps, prints)
-            return materialize(batch.select("rid").distinct().join(accepted, "rid", "left_anti"), "refused", 2, keep=True)
-
-    def _look_up(self, batch: DataFrame, prints: DataFrame) -> DataFrame:
-        """``(rid, kind, owner)``: records with an exact key of the store, and classes with a candidate there."""
-        exact = batch.select("rid", F.explode("keys").alias("k")).select("rid", "k.fp", "k.chk", *_exact()).drop("owner")
-        winnowed = prints.select(F.col("cls").alias("rid"), F.col("s").alias("fp"), F.lit(None).cast("long").alias("chk"), F.lit(WINNOWED).cast("tinyint").alias("kind"), "n", "bits")
-        a, b = self._positives(exact.unionByName(winnowed)).alias("a"), self._table("prints").alias("b")
-        # of the same block and fingerprint; the rest of the condition is no key, for the tables lie by block
-        rest = (F.col("a.kind") - F.col("b.kind") == 0) & ((F.col("a.kind") == WINNOWED) | (F.col("a.chk").bitwiseXOR(F.col("b.chk")) == 0))
-        pairs = a.hint("shuffle_hash").join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.fp") == F.col("b.fp")) & rest)
-        pairs = pairs.filter((F.col("a.kind") == EXACT) | may_be_alike("a", "b"))
-        return pairs.select("a.rid", "a.kind", "b.owner").distinct()
-
-    def _covered(self, found: DataFrame, reps: DataFrame) -> DataFrame:
-        """Classes whose text shares the required part of an accepted one."""
-        old = self._table("texts").select(F.col("rid").alias("owner"), F.col("canon").alias("old"))
-        pairs = found.filter(F.col("kind") == WINNOWED).select(F.col("rid").alias("cls"), "owner")
-        pairs = pairs.join(reps.select("cls", "canon"), "cls").hint("shuffle_hash").join(old, "owner")
-        return pairs.filter(alike(canonical_set(F.col("canon")), canonical_set(F.col("old")))).select("cls")
-
-    def _edges(self, prints: DataFrame, reps: DataFrame) -> DataFrame:
+            order, fitted = self.state["order"], False
+            if order is None or self.state["texts"] >= REFIT * max(1, self.state["fitted"]):
+                order, fitted = self._fit(batch), True
+            hits, notes = self._probe(batch, order)
+            if not fitted and sum(n["hot"] for n in notes):
+                self._stale += [s[0] for n in notes for s in n.get("prints", [])]
+                hits, notes = self._probe(batch, self._fit(batch))
+            total = {k: sum(n[k] for n in notes) for k in ("probes", "read", "candidates", "members", "known", "repeated")}
+            rows, edges = self._marked(batch, hits, total)
+            won = self._decide(rows.filter("contested"), edges)
+            accepted = rows.filter("not contested")
+            if won is not None:
+                accepted = accepted.unionByName(rows.filter("contested").join(won, "rid", "left_semi"))
+            left = batch.select("rid").distinct().join(accepted.select("rid"), "rid", "left_anti")
+            keys = accepted.select(F.explode("keys").alias("k")).select(
+                self._bucket("k.fp"), F.lit(EXACT).cast("tinyint").alias("kind"), "k.fp", F.col("k.chk").alias("x"), F.lit(None).cast("string").alias("text")
+            )
+            texts = accepted.filter("canon is not null").select(
+                self._bucket("cls.fp"), F.lit(TEXT).cast("tinyint").alias("kind"), "cls.fp", F.lit(0).cast("bigint").alias("x"), F.col("canon").alias("text")
+            )
+            _, added = _together(lambda: left.coalesce(2).write.mode("overwrite").parquet(out), lambda: self._add(keys.unionByName(texts)))
+            live = self._with(self._with(self.state["live"], notes, ("prints",)), added, ("keys", "texts"))
+            count = lambda kind: sum(s[2] for b in live.values() for s in b[kind])
+            self.stats.append({"ingest": name, **total, "history_prints": count("prints"), "history_keys": count("keys")})
+            self._committed(name, live, texts=count("texts"))
+        return self.spark.read.schema("rid bigint").parquet(out)
+
+    def _marked(self, batch: DataFrame, hits: DataFrame, total: dict[str, int]) -> tuple[DataFrame, DataFrame | None]:
+        """The records that nothing in the history refuses, with ``contested`` where they share something within the
+        batch; and ``(a, b)`` of the classes that are alike there, both ways."""
+        rows, contested = batch, F.lit(False)
+        if total["known"] + total["repeated"]:
+            keys = hits.filter(F.col("kind").isin(KNOWN, REPEATED)).select("kind", "fp", F.col("x").alias("chk"))
+            own = batch.select("rid", F.explode("keys").alias("k")).select("rid", "k.fp", "k.chk").join(keys, ["fp", "chk"])
+            flags = own.groupBy("rid").agg(F.max(F.col("kind") == KNOWN).alias("_known"), F.max(F.col("kind") == REPEATED).alias("_again"))
+            rows = rows.join(flags, "rid", "left").filter("not coalesce(_known, false)")
+            contested = contested | F.coalesce("_again", F.lit(False))
+        covered, edges = _together(
+            lambda: materialize(self._covered(hits, batch), "covered") if total["candidates"] else None,
+            lambda: materialize(self._edges(hits, batch), "edges") if total["members"] else None,
+        )
+        if covered is not None:
+            rows = rows.join(covered, "cls", "left_anti")
+        if edges is not None:
+            near = edges.select(F.col("a").alias("cls")).distinct().withColumn("_near", F.lit(True))
+            rows = rows.join(near, "cls", "left")
+            contested = contested | F.coalesce("_near", F.lit(False))
+        rows = rows.select("rid", "ord", "keys", "cls", "canon", contested.alias("contested"))
+        return materialize(rows, "marked"), edges
+
+    @staticmethod
+    def _texts_of(hits: DataFrame, batch: DataFrame, kind: int) -> DataFrame:
+        """``(id, cls, canon)`` of the batch's texts that have hits of a kind, each once."""
+        ids = hits.filter(F.col("kind") == kind).select(F.col("ref").alias("id")).distinct()
+        held = batch.filter("canon is not null").select(F.col("cls.fp").alias("id"), "cls", "canon").join(ids, "id", "left_semi")
+        return held.groupBy("id", "cls").agg(F.first("canon").alias("canon"))
+
+    def _covered(self, hits: DataFrame, batch: DataFrame) -> DataFrame:
+        """Classes of the batch whose text shares the required part of an accepted one."""
+        root, commit = self.root, self._commit()
+        held = self._texts_of(hits, batch, CANDIDATE)
+        pairs = hits.filter(F.col("kind") == CANDIDATE).select(F.col("ref").alias("id"), F.col("other").alias("owner")).distinct()
+        pairs = pairs.join(held, "id").select(self._bucket("owner"), "owner", "cls", "canon")
+
+        def verify(batches):
+            now = P.document(root, commit)["live"]
+            for b in batches:
+                found = {}
+                owners = b.column("owner").to_numpy()
+                which = b.column("bucket").to_numpy()
+                for bucket in np.unique(which):
+                    ids = np.unique(owners[which == bucket].view(np.uint64))
+                    for name, _, _ in now.get(str(bucket), {"texts": []})["texts"]:
+                        s = P.Segment(root, name)
+                        key, (at, size) = s.find(ids)
+                        for k, a, n in zip(key.tolist(), at.tolist(), size.tolist()):
+                            found.setdefault(ids[k].view(np.int64).item(), []).append(_triples(s.bytes(a, n).decode()))
+                hit = [any(_share(_triples(t), x) for x in found.get(o, ())) for o, t in zip(owners.tolist(), b.column("canon").to_pylist())]
+                yield b.filter(pa.array(hit, pa.bool_())).select(["cls"])
+
+        # the texts of one bucket are shared by several tasks, so that one text with many candidates is no hot task
+        pairs = pairs.repartition("bucket", F.pmod(F.col("cls.chk"), F.lit(SLICES))).sortWithinPartitions("bucket", "owner")
+        return pairs.mapInArrow(verify, "cls struct<fp:bigint,chk:bigint>").distinct()
+
+    def _edges(self, hits: DataFrame, batch: DataFrame) -> DataFrame:
         """``(a, b)`` of classes within the batch that are alike, both ways."""
-        # few signatures are repeated within a batch; the window finds them by the one exchange of all of them
-        prints = prints.withColumn("_n", F.count("*").over(W.partitionBy("s"))).filter("_n > 1").drop("_n")
-        a, b = prints.alias("a"), prints.alias("b")
-        pairs = a.join(b, (F.col("a.s") == F.col("b.s")) & (F.col("a.cls") < F.col("b.cls"))).filter(may_be_alike("a", "b"))
-        pairs = pairs.select(F.col("a.cls").alias("p"), F.col("b.cls").alias("q")).distinct()
-        text = lambda c: reps.select(F.col("cls").alias(c), F.col("canon").alias(f"t{c}"))
+        held = self._texts_of(hits, batch, MEMBER)
+        m = hits.filter(F.col("kind") == MEMBER).select("fp", "ref", "x")
+        a, b = m.alias("a"), m.alias("b")
+        pairs = a.join(b, (F.col("a.fp") == F.col("b.fp")) & (F.col("a.ref") < F.col("b.ref"))).filter(_marks_allow(F.col("a.x"), F.col("b.x")))
+        pairs = pairs.select(F.col("a.ref").alias("p"), F.col("b.ref").alias("q")).distinct()
+        text = lambda c: held.select(F.col("id").alias(c), F.col("cls").alias(f"c{c}"), F.col("canon").alias(f"t{c}"))
         got = pairs.join(text("p"), "p").join(text("q"), "q").filter(alike(canonical_set(F.col("tp")), canonical_set(F.col("tq"))))
-        both = F.array(F.struct(F.col("p").alias("a"), F.col("q").alias("b")), F.struct(F.col("q").alias("a"), F.col("p").alias("b")))
+        both = F.array(F.struct(F.col("cp").alias("a"), F.col("cq").alias("b")), F.struct(F.col("cq").alias("a"), F.col("cp").alias("b")))
         return got.select(F.explode(both).alias("e")).select("e.a", "e.b")
 
-    def _decide(self, rest: DataFrame, edges: DataFrame) -> DataFrame:
-        """The accepted of the rest, once each: those that share nothing at once, the contested in order."""
-        keys = rest.select("rid", F.explode("keys").alias("k"))
-        by_key = keys.withColumn("n", F.count("*").over(W.partitionBy("k.fp", "k.chk"))).filter("n > 1").select("rid")
-        by_text = rest.join(edges.select(F.col("a").alias("cls")).distinct(), "cls", "left_semi").select("rid")
-        marked = rest.join(by_key.unionByName(by_text).distinct().withColumn("contested", F.lit(True)), "rid", "left")
-        marked = materialize(marked.withColumn("contested", F.coalesce("contested", F.lit(False))), "marked")
-        free = marked.filter("not contested").select("rid", "keys", "cls")
-        contested = marked.filter("contested").select("rid", "ord", "keys", "cls")
-        contested_all = contested.select("rid", "keys", "cls")
-        decided = []
-        while contested.count() > self.sequential_rows:
-            won, contested = self._round(contested, edges)
-            decided.append(won)
-        decided.append(self._in_order(contested, edges.join(contested.select(F.col("cls").alias("a")).distinct(), "a", "left_semi")))
-        for d in decided:
-            free = free.unionByName(contested_all.join(d, "rid", "left_semi"))
-        return free.dropDuplicates(["rid"])
+    def _decide(self, contested: DataFrame, edges: DataFrame | None) -> DataFrame | None:
+        """``rid`` of the contested that are accepted, null if there are none to decide.
+
+        In rounds: of those undecided, a record that is first under all its keys and before all its neighbours is
+        accepted, and what shares with it is refused.  The first of all always is, so rounds come to an end; their
+        number is the longest chain of decisions that depend on one another, whatever the number of records.
+        """
+        if contested.isEmpty():
+            return None
+        left = contested.select("rid", "ord", "keys", "cls").dropDuplicates(["rid"])
+        decided: DataFrame | None = None
+        while True:
+            won, left = self._round(left, edges)
+            decided = won if decided is None else decided.unionByName(won)
+            if left.isEmpty():
+                return decided
 
     @staticmethod
-    def _round(contested: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Accept every record that is first under all its keys and before all its neighbours, refuse what
-        shares with them; the first of all is always among them, so rounds come to an end."""
-        keys = contested.select("rid", "ord", "cls", F.explode("keys").alias("k"))
+    def _round(left: DataFrame, edges: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        keys = left.select("rid", "ord", "cls", F.explode("keys").alias("k"))
         lead = keys.groupBy("k").agg(F.min("ord").alias("lead"))
         first = keys.join(lead, "k").groupBy("rid", "ord", "cls").agg(F.min(F.col("ord") == F.col("lead")).alias("ok")).filter("ok")
-        bare = contested.filter(F.size("keys") == 0).select("rid", "ord", "cls")
-        front = contested.filter("cls is not null").groupBy("cls").agg(F.min("ord").alias("front"))
-        near = edges.join(front, edges["b"] == front["cls"]).groupBy("a").agg(F.min("front").alias("near"))
-        won = first.select("rid", "ord", "cls").unionByName(bare).join(near, F.col("cls") == F.col("a"), "left")
-        won = materialize(won.filter("near is null or ord < near").select("rid", "cls").distinct(), "won")
+        if edges is not None:
+            front = left.filter("cls is not null").groupBy("cls").agg(F.min("ord").alias("front"))
+            near = edges.join(front, edges["b"] == front["cls"]).groupBy("a").agg(F.min("front").alias("near"))
+            first = first.join(near, F.col("cls") == F.col("a"), "left").filter("near is null or ord < near")
+        won = materialize(first.select("rid", "cls"), "won")
         taken = keys.join(won.select("rid"), "rid", "left_semi").select("k").distinct()
-        lost_keys = keys.join(taken, "k", "left_semi").select("rid")
-        lost_cls = edges.join(won.select(F.col("cls").alias("a")).distinct(), "a", "left_semi").select(F.col("b").alias("cls")).distinct()
-        left = contested.join(lost_keys.unionByName(won.select("rid")).distinct(), "rid", "left_anti").join(lost_cls, "cls", "left_anti")
+        lost = keys.join(taken, "k", "left_semi").select("rid").distinct()
+        left = left.join(lost, "rid", "left_anti")
+        if edges is not None:
+            out = edges.join(won.select(F.col("cls").alias("a")), "a", "left_semi").select(F.col("b").alias("cls")).distinct()
+            left = left.join(out, "cls", "left_anti")
         return won.select("rid"), materialize(left, "left")
 
-    @staticmethod
-    def _in_order(contested: DataFrame, edges: DataFrame) -> DataFrame:
-        """One by one, in one task; the caller has bounded the number of records."""
-        none = lambda t, c: F.lit(None).cast(t).alias(c)
-        kinds = dict(contested.dtypes)
-        one = contested.select("rid", "ord", "keys", "cls", none("long", "a"), none("long", "b"))
-        two = edges.select(none("long", "rid"), none(kinds["ord"], "ord"), none(kinds["keys"], "keys"), none("long", "cls"), "a", "b")
-
-        def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            records, near = {}, {}
-            for b in batches:
-                for r in b.to_pylist():
-                    if r["rid"] is None:
-                        near.setdefault(r["a"], []).append(r["b"])
-                    else:
-                        order = tuple((v is not None, v) for v in r["ord"].values())
-                        records[r["rid"]] = (order, r["rid"], [(k["fp"], k["chk"]) for k in r["keys"]], r["cls"])
-            keys, classes, out = set(), set(), []
-            for _, rid, own, cls in sorted(records.values()):
-                if keys.isdisjoint(own) and classes.isdisjoint(near.get(cls, ())):
-                    out.append(rid)
-                    keys.update(own)
-                    classes.add(cls)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["rid"])
-
-        return one.unionByName(two).coalesce(1).mapInArrow(take, "rid long")
-
-    def _remember(self, accepted: DataFrame, reps: DataFrame, prints: DataFrame) -> None:
-        cls = accepted.filter("cls is not null").select("cls")
-        exact = accepted.select(F.explode("keys").alias("k")).select("k.fp", "k.chk", *_exact())
-        winnowed = prints.join(cls, "cls", "left_semi").select(
-            F.col("s").alias("fp"), F.lit(None).cast("long").alias("chk"), F.col("cls").alias("owner"), F.lit(WINNOWED).cast("tinyint").alias("kind"), "n", "bits"
-        )
-        self._add(exact.unionByName(winnowed))
-        self._append(self._placed(reps.join(cls, "cls", "left_semi").select(F.col("cls").alias("rid"), "canon"), "rid"), "texts", "rid")
 
-
-def refused_records(records: DataFrame, batch: str, excluded: DataFrame, batches_per_ingest: int = 8) -> DataFrame:
+def refused_records(records: DataFrame, batch: str, excluded: DataFrame, store: History | None = None) -> DataFrame:
     """``rid`` of the records refused when ``records`` (:func:`prepared`, with the column ``batch`` kept) are
-    ingested batch after batch; ``excluded`` has the column ``key``.
+    ingested batch after batch, nulls first; ``excluded`` has the column ``key``.
 
-    ``batches_per_ingest`` consecutive batches are decided at a time, in their order: the result is the same
-    for any number.  Batches are staged as they would arrive, each ingest reads only its own.
+    Batches are staged as they would arrive, and each ingest reads its own.  Without a ``store`` one is made and removed.
     """
     spark = records.sparkSession
-    numbers = sorted((r[0] for r in records.select(batch).distinct().collect()), key=lambda x: (x is not None, x))
+    staged = scratch(spark, "staged")
+    records.write.option("compression", "zstd").partitionBy(batch).parquet(staged)
+    rows = spark.read.schema(records.schema).parquet(staged)
+    numbers = sorted((r[0] for r in rows.select(batch).distinct().collect()), key=lambda x: (x is not None, x))  # the list of batches
     if not numbers:
         return records.select("rid").limit(0)
-    groups = [numbers[i : i + batches_per_ingest] for i in range(0, len(numbers), batches_per_ingest)]
-    bounds = [g[0] for g in groups[1:]]
-    ingest = sum((F.when(F.col(batch) >= b, 1).otherwise(0) for b in bounds), F.lit(0))
-    staged = scratch(spark, "staged")
-    records.withColumn("ingest", ingest).drop(batch).write.option("compression", "zstd").partitionBy("ingest").parquet(staged)
-    rows = spark.read.parquet(staged)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    store = History(spark, scratch(spark, "history"), buckets, max(1024, rows.count() * 2 // 10))
+    own = store is None
+    store = store or History.create(spark, scratch(spark, "history"), int(spark.conf.get("spark.sql.shuffle.partitions")))
     store.exclude(excluded)
-    refused = [store.ingest(rows.filter(F.col("ingest") == i).drop("ingest")) for i in range(len(groups))]
-    store.drop()
+    refused = [store.ingest(rows.filter(F.col(batch).eqNullSafe(F.lit(n))).drop(batch), str(n)) for n in numbers]
+    if own:
+        store.drop()
     discard(staged)
     out = refused[0]
     for r in refused[1:]:

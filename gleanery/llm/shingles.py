@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 NUM, DEN = 3, 5
 LONG = 128
 WORD = "[a-z0-9]+"
+SINGLE, PAIR, PREFIX = 1, 2, 3  # forms of signatures: a rare element, two common ones, an element of a long set
 
 
 def words_of(text: Column) -> Column:
@@ -79,8 +80,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _keys(flat: np.ndarray, sizes: np.ndarray, order: np.ndarray, rare: int, skip_zero: bool, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Number of the set and key of all signatures of sets that lie in ``flat`` one after the other."""
+def _keys(flat: np.ndarray, sizes: np.ndarray, order: np.ndarray, rare: int, skip_zero: bool, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the set, key and form of all signatures of sets that lie in ``flat`` one after the other."""
     row = np.repeat(np.arange(len(sizes)), sizes)
     rank = order[flat % len(order)]
     by = np.lexsort((flat, rank, row))
@@ -92,6 +93,7 @@ def _keys(flat: np.ndarray, sizes: np.ndarray, order: np.ndarray, rare: int, ski
     short = useful & (n <= LONG) & (pos < spare + 2)
     single = short & ((rank <= rare) | (n == 1))
     long_ = useful & (n * den > LONG * num) & (pos < spare + 1)
+    forms = [np.full(int(single.sum()), SINGLE, np.int8), np.full(int(long_.sum()), PREFIX, np.int8)]
     rows, keys = [row[single], row[long_]], [flat[single], (_mix(flat[long_].view(np.uint64)) + np.uint64(1)).view(np.int64)]
     common = np.flatnonzero(short & ~single)
     # the order is total, so equal pairs come in the same order in every set
@@ -102,7 +104,8 @@ def _keys(flat: np.ndarray, sizes: np.ndarray, order: np.ndarray, rare: int, ski
             break
         rows.append(r[same])
         keys.append(_mix(f[same] * np.uint64(3) + f[same + d]).view(np.int64))
-    return np.concatenate(rows), np.concatenate(keys)
+        forms.append(np.full(len(same), PAIR, np.int8))
+    return np.concatenate(rows), np.concatenate(keys), np.concatenate(forms)
 
 
 def signatures(
@@ -125,7 +128,7 @@ def signatures(
             if lists.null_count:
                 sizes = np.where(lists.is_valid().to_numpy(zero_copy_only=False), sizes, 0)
             flat = lists.flatten().to_numpy()
-            row, key = _keys(flat, sizes, order, rare, skip_zero, num, den)
+            row, key, _ = _keys(flat, sizes, order, rare, skip_zero, num, den)
             bits = _bits(flat, sizes)
             cols = [b.column(c).take(pa.array(row)) for c in keep]
             cols += [pa.array(sizes[row], pa.int32()), pa.array(bits[row], pa.int64()), pa.array(key, pa.int64())]
