@@ -8,14 +8,14 @@ buckets of segments (:mod:`gleanery.llm.fingerprints`), each behind Bloom filter
   Winnowing by position only promises to find long common runs; here the window lies over the set in a fixed order,
   which promises a common fingerprint for any two sets with the required share in common (the signatures of
   :mod:`gleanery.llm.shingles`);
-* ``texts`` - the canonical text of accepted records, read only to verify the coverage of a candidate.
+* ``texts`` - the canonical texts the prints are from, read one by one to verify the coverage of a candidate.
 
-An ingest takes one batch.  One exchange brings the batch's keys and prints to their buckets, where the filters
-prescreen them, positives are looked up, what is repeated within the batch is found, and the prints are appended.
-Candidates are verified by their texts; a print of a text that wasn't accepted finds none and counts for nothing.
-The rest is decided in order, and keys and texts of what is accepted are appended.  Then one commit, a file that names
-all live segments, makes the ingest part of the history; an ingest that broke off before left nothing, one that is
-run again after its commit returns what it returned.
+An ingest takes one batch.  One exchange brings the batch's keys, prints and texts to their buckets, where the filters
+prescreen them, positives are looked up, what is repeated within the batch is found, and prints and texts are appended.
+Candidates are verified by their texts, looked up where they lie; one of the history counts if the key of its text is
+that of an accepted record.  The rest is decided in order, and the keys of what is accepted are appended.  Then one
+commit, a file that names all live segments, makes the ingest part of the history; an ingest that broke off before left
+nothing, one that is run again after its commit returns what it returned.
 
 The order of shingles, which decides cost and never results, is part of the store.  It is fitted anew, and the prints
 made again from the texts, when the history has grown :data:`REFIT`-fold, which amortises, and when an element taken
@@ -25,6 +25,7 @@ for rare turns out to be frequent, so that a template that appears late doesn't
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
@@ -34,20 +35,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.llm import fingerprints as P
-from gleanery.llm.shingles import DEN, NUM, SINGLE, _keys, _mix, alike, canonical, canonical_set, fit_order
+from gleanery.llm.shingles import DEN, NUM, SINGLE, _keys, _mix, canonical, canonical_set, fit_order
 from gleanery.session import discard, materialize, scratch, temporaries
 
 EXACT, TEXT = 0, 9  # kinds of rows that go to a bucket, beside the forms of signatures
-KNOWN, REPEATED, CANDIDATE, MEMBER, NOTE = range(5)  # kinds of rows that come from it
+KNOWN, REPEATED, CANDIDATE, PAIR, NOTE = range(5)  # kinds of rows that come from it
 RARE = 2  # shingles that the fitted texts have at most so often sign alone
 HOT = 64  # texts under an element taken for rare, from which the order is fitted anew
 REFIT = 4
 SLICES = 8  # tasks that may share the verification against the texts of one bucket
 MARK_BITS = 48
-ROWS = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("fp", pa.int64()), ("x", pa.int64()), ("ref", pa.int64())])
-ROWS_DDL = "bucket int, kind tinyint, fp bigint, x bigint, ref bigint"
+ROWS = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("fp", pa.int64()), ("x", pa.int64()), ("ref", pa.int64()), ("text", pa.string())])
+ROWS_DDL = "bucket int, kind tinyint, fp bigint, x bigint, ref bigint, text string"
 HITS = pa.schema([("kind", pa.int8()), ("fp", pa.int64()), ("x", pa.int64()), ("ref", pa.int64()), ("other", pa.int64()), ("note", pa.string())])
 HITS_DDL = "kind tinyint, fp bigint, x bigint, ref bigint, other bigint, note string"
+LIKE = pa.schema([("kind", pa.int8()), ("fp", pa.int64()), ("chk", pa.int64()), ("ofp", pa.int64()), ("ochk", pa.int64())])
+LIKE_DDL = "kind tinyint, fp bigint, chk bigint, ofp bigint, ochk bigint"
+EMPTY: dict[str, P.Live] = {"keys": [], "prints": [], "texts": []}
 
 
 def exact_key(kind: str, *parts: Column) -> Column:
@@ -91,14 +95,6 @@ def marks_allow(a: np.ndarray, b: np.ndarray, num: int = NUM, den: int = DEN) ->
     return ok | (na == 0xFFFF) | (nb == 0xFFFF)
 
 
-def _marks_allow(a: Column, b: Column, num: int = NUM, den: int = DEN) -> Column:
-    """:func:`marks_allow` as an expression."""
-    na, nb = a.bitwiseAND(0xFFFF), b.bitwiseAND(0xFFFF)
-    apart = F.bit_count(F.shiftrightunsigned(a.bitwiseXOR(b), 16))
-    ok = (na * den >= nb * num) & (nb * den >= na * num) & (apart * (num + den) <= (na + nb) * (den - num))
-    return ok | (na == 0xFFFF) | (nb == 0xFFFF)
-
-
 def _triples(text: str) -> set[tuple[str, str, str]]:
     w = text.split(" ")
     return set(zip(w, w[1:], w[2:]))
@@ -117,7 +113,8 @@ def _together(*calls: Callable) -> list:
 
 def _table(schema: pa.Schema, **cols) -> pa.RecordBatch:
     n = max(len(v) for v in cols.values())
-    return pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(n, f.type) for f in schema], schema=schema)
+    arr = lambda v, t: v if isinstance(v, pa.Array) else pa.array(v, t)
+    return pa.RecordBatch.from_arrays([arr(cols[f.name], f.type) if f.name in cols else pa.nulls(n, f.type) for f in schema], schema=schema)
 
 
 def _group_starts(*cols: np.ndarray) -> np.ndarray:
@@ -128,7 +125,7 @@ def _group_starts(*cols: np.ndarray) -> np.ndarray:
 
 
 def _rows_of(buckets: int, root: str, order: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Keys and prints of records ``(rid, keys, id, set)``; of what is repeated in an Arrow batch only the least and the
+    """Keys, prints and texts of records ``(rid, keys, id, chk, canon, set)``; of what is repeated in an Arrow batch only the least and the
     greatest record, and each text once, so that a key or text that a third of the rows have sends a few rows a task."""
 
     def run(batches):
@@ -147,9 +144,11 @@ def _rows_of(buckets: int, root: str, order: str) -> Callable[[Iterator[pa.Recor
                 yield _table(ROWS, bucket=fp[pick] % buckets, kind=np.full(len(pick), EXACT), fp=fp[pick], x=chk[pick], ref=rid[pick])
             some = b.filter(b.column("set").is_valid())
             if some.num_rows:
-                ids = some.column("id").to_numpy()
-                some = some.take(pa.array(np.unique(ids, return_index=True)[1]))
+                ids, chk = some.column("id").to_numpy(), some.column("chk").to_numpy()
+                by = np.lexsort((chk, ids))
+                some = some.take(pa.array(by[_group_starts(ids[by], chk[by])]))
                 ids, lists = some.column("id").to_numpy(), some.column("set")
+                yield _table(ROWS, bucket=ids % buckets, kind=np.full(len(ids), TEXT), fp=ids, x=some.column("chk"), text=some.column("canon"))
                 sizes, flat = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
                 row, key, form = _keys(flat, sizes, counts, RARE, False, NUM, DEN)
                 yield _table(ROWS, bucket=key % buckets, kind=form, fp=key, x=marks(flat, sizes)[row], ref=ids[row])
@@ -190,10 +189,23 @@ def _looked_up(root: str, live: P.Live, fp: np.ndarray) -> tuple[np.ndarray, lis
     return np.concatenate(key), [np.concatenate(x) for x in zip(*cols)], read
 
 
+def _add_texts(root: str, live: P.Live, rows: pa.Table) -> P.Live:
+    fp, chk = rows.column("fp").to_numpy(), rows.column("x").to_numpy()
+    by = np.lexsort((chk, fp))
+    one = by[_group_starts(fp[by], chk[by])]
+    blobs = [t.encode() for t in rows.column("text").take(pa.array(one)).to_pylist()]
+    size = np.array([len(b) for b in blobs], np.int64)
+    return P.append(root, "texts", live, fp[one].view(np.uint64), [np.cumsum(size) - size, size, chk[one]], b"".join(blobs))[0]
+
+
 def _probe_bucket(root: str, bucket: int, rows: pa.Table, live: dict[str, P.Live], fit_only: bool) -> Iterator[pa.RecordBatch]:
-    """Look the rows of a bucket up, find what is repeated among them, and append the prints."""
+    """Look the rows of a bucket up, find what is repeated among them, and append prints and texts."""
+    texts = rows.column("kind").to_numpy() == TEXT
+    note: dict = {"bucket": bucket, "probes": 0, "read": 0, "candidates": 0, "pairs": 0, "known": 0, "repeated": 0, "hot": 0}
+    if texts.any() and not fit_only:
+        note["texts"] = _add_texts(root, live["texts"], rows.filter(pa.array(texts)))
+    rows = rows.filter(pa.array(~texts))
     kind, fp, x, ref = (rows.column(c).to_numpy() for c in ("kind", "fp", "x", "ref"))
-    note = {"bucket": bucket, "probes": 0, "read": 0, "candidates": 0, "members": 0, "known": 0, "repeated": 0, "hot": 0}
     keys = kind == EXACT
     if keys.any():
         f, c, r = fp[keys], x[keys], ref[keys]
@@ -239,31 +251,59 @@ def _probe_bucket(root: str, bucket: int, rows: pa.Table, live: dict[str, P.Live
                 note["candidates"] = len(a)
                 if len(a):
                     yield _table(HITS, kind=np.full(len(a), CANDIDATE), ref=a, other=b)
-            again = (size > 1)[mine]
-            note["members"] = int(again.sum())
-            if again.any():
-                yield _table(HITS, kind=np.full(note["members"], MEMBER), fp=f[again], x=m[again], ref=r[again])
+            for d in range(1, int(size.max())):  # texts of the batch under one fingerprint, d places apart
+                at = np.flatnonzero(mine[d:] == mine[:-d])
+                at = at[marks_allow(m[at], m[at + d])]
+                note["pairs"] += len(at)
+                if len(at):
+                    yield _table(HITS, kind=np.full(len(at), PAIR), ref=r[at], other=r[at + d])
             note["hot"] = int(((old + size > HOT) & (k[begin] == SINGLE)).sum())
         note["prints"], note["rewritten"] = P.append(root, "prints", [] if fit_only else live["prints"], f.view(np.uint64), [m, r])
     yield _table(HITS, kind=[NOTE], note=[json.dumps(note)])
 
 
-def _add_bucket(root: str, bucket: int, rows: pa.Table, live: dict[str, P.Live]) -> dict:
-    """Append exact keys, and texts with their bytes."""
-    note: dict = {"bucket": bucket}
-    kind, fp, x = (rows.column(c).to_numpy() for c in ("kind", "fp", "x"))
-    keys = kind == EXACT
-    f, c = fp[keys], x[keys]
-    by = np.lexsort((c, f))
-    one = by[_group_starts(f[by], c[by])] if len(by) else by
-    note["keys"], _ = P.append(root, "keys", live["keys"], f[one].view(np.uint64), [c[one]])
-    texts = dict.fromkeys(zip(fp[~keys].tolist(), rows.column("text").filter(pa.array(~keys)).to_pylist()))
-    blobs = [t.encode() for _, t in texts]
-    size = np.array([len(b) for b in blobs], np.int64)
-    note["texts"], _ = P.append(
-        root, "texts", live["texts"], np.array([i for i, _ in texts], np.int64).view(np.uint64), [np.cumsum(size) - size, size], b"".join(blobs)
-    )
-    return note
+def _add_keys(root: str, bucket: int, rows: pa.Table, live: dict[str, P.Live]) -> dict:
+    fp, chk = rows.column("fp").to_numpy(), rows.column("x").to_numpy()
+    by = np.lexsort((chk, fp))
+    one = by[_group_starts(fp[by], chk[by])]
+    return {"bucket": bucket, "keys": P.append(root, "keys", live["keys"], fp[one].view(np.uint64), [chk[one]])[0]}
+
+
+def _texts_of(root: str, live: dict[str, dict[str, P.Live]], buckets: int, ids: np.ndarray) -> dict[int, list[tuple[int, set]]]:
+    """Of each id the second halves of the hashes and the word triples of its texts."""
+    found: dict[int, list[tuple[int, set]]] = {}
+    ids = np.unique(ids.view(np.uint64))
+    which = ids.view(np.int64) % buckets
+    for b in np.unique(which):
+        own = ids[which == b]
+        for name, _, _ in live.get(str(b), EMPTY)["texts"]:
+            s = P.Segment(root, name)
+            key, (at, size, chk) = s.find(own)
+            for k, a, n, c in zip(key.tolist(), at.tolist(), size.tolist(), chk.tolist()):
+                found.setdefault(own[k].view(np.int64).item(), []).append((c, _triples(s.bytes(a, n).decode())))
+    return found
+
+
+def _verify(root: str, live: dict[str, dict[str, P.Live]], buckets: int, pairs: pa.RecordBatch) -> pa.RecordBatch:
+    """Of pairs ``(kind, ref, other)`` of ids the hashes of the texts that are alike; pairs of the batch both ways."""
+    kind, ref, other = (pairs.column(c).to_numpy() for c in ("kind", "ref", "other"))
+    texts = _texts_of(root, live, buckets, np.concatenate([ref, other]))
+    old = np.unique(other[kind == CANDIDATE].view(np.uint64))
+    accepted = set()
+    which = old.view(np.int64) % buckets
+    for b in np.unique(which):
+        own = old[which == b]
+        key, cols, _ = _looked_up(root, live.get(str(b), EMPTY)["keys"], own.view(np.int64))
+        accepted.update(zip(own[key].view(np.int64).tolist(), cols[0].tolist()) if len(key) else ())
+    out: list[tuple] = []
+    for k, a, b in dict.fromkeys(zip(kind.tolist(), ref.tolist(), other.tolist())):
+        for ca, sa in texts.get(a, ()):
+            for cb, sb in texts.get(b, ()):
+                if (k == PAIR or (b, cb) in accepted) and _share(sa, sb):
+                    out.append((k, a, ca, b, cb))
+                    if k == PAIR:
+                        out.append((k, b, cb, a, ca))
+    return pa.RecordBatch.from_pylist([dict(zip(LIKE.names, x)) for x in out], LIKE)
 
 
 class History:
@@ -332,8 +372,7 @@ class History:
         out = dict(live)
         for n in notes:
             b = str(n["bucket"])
-            empty = {"keys": [], "prints": [], "texts": []}
-            out[b] = empty | out.get(b, {}) | {k: n[k] for k in kinds if k in n}
+            out[b] = EMPTY | out.get(b, {}) | {k: n[k] for k in kinds if k in n}
         return out
 
     # ---- tasks --------------------------------------------------------------------------------------------
@@ -343,7 +382,7 @@ class History:
 
     def _probe(self, batch: DataFrame, order: str) -> tuple[DataFrame, list[dict]]:
         """What the buckets find for a batch, and their notes (a row a bucket)."""
-        records = batch.select("rid", "keys", F.col("cls.fp").alias("id"), canonical_set(F.col("canon")).alias("set"))
+        records = batch.select("rid", "keys", F.col("cls.fp").alias("id"), F.col("cls.chk").alias("chk"), "canon", canonical_set(F.col("canon")).alias("set"))
         hits = materialize(self._in_buckets(records, order, self.state["live"], False), "hits")
         return hits, self._notes(hits)
 
@@ -357,18 +396,18 @@ class History:
         def run(batches):
             now = P.document(root, commit)["live"]
             for b, rows in _buckets(batches):
-                yield from _probe_bucket(root, b, rows, now.get(str(b), {"keys": [], "prints": [], "texts": []}), fit_only)
+                yield from _probe_bucket(root, b, rows, now.get(str(b), EMPTY), fit_only)
 
         return self._by_bucket(records.mapInArrow(_rows_of(buckets, root, order), ROWS_DDL)).mapInArrow(run, HITS_DDL)
 
     def _add(self, rows: DataFrame) -> list[dict]:
-        """Append ``(bucket, kind, fp, x, text)``; the notes of the buckets."""
+        """Append exact keys ``(bucket, fp, x)``; the notes of the buckets."""
         root, commit = self.root, self._commit()
 
         def run(batches):
             now = P.document(root, commit)["live"]
             for b, part in _buckets(batches):
-                note = _add_bucket(root, b, part, now.get(str(b), {"keys": [], "prints": [], "texts": []}))
+                note = _add_keys(root, b, part, now.get(str(b), EMPTY))
                 yield pa.RecordBatch.from_arrays([pa.array([json.dumps(note)])], names=["note"])
 
         return [json.loads(r["note"]) for r in self._by_bucket(rows).mapInArrow(run, "note string").collect()]  # a row a bucket
@@ -379,13 +418,13 @@ class History:
     def exclude(self, keys: DataFrame) -> None:
         """Refuse every record that has one of ``keys`` (column ``key``: :func:`exact_key`); nulls are ignored."""
         rows = keys.filter("key is not null").select("key.fp", "key.chk").distinct()
-        rows = rows.select(self._bucket("fp"), F.lit(EXACT).cast("tinyint").alias("kind"), "fp", F.col("chk").alias("x"), F.lit(None).cast("string").alias("text"))
+        rows = rows.select(self._bucket("fp"), "fp", F.col("chk").alias("x"))
         self._committed(None, self._with(self.state["live"], self._add(rows), ("keys",)))
 
     # ---- the order of shingles ----------------------------------------------------------------------------
 
     def _texts(self) -> DataFrame:
-        """``(id, canon)`` of all accepted texts."""
+        """``(id, canon)`` of all texts of the history."""
         root = self.root
         files = [s[0] for b in self.state["live"].values() for s in b["texts"]]
 
@@ -393,7 +432,7 @@ class History:
             for b in batches:
                 for name in b.column(0).to_pylist():
                     s = P.Segment(root, name)
-                    ids, (at, size) = s.all()
+                    ids, (at, size, _) = s.all()
                     data = s.bytes()
                     texts = [data[a : a + n].decode() for a, n in zip(at.tolist(), size.tolist())]
                     for i in range(0, len(texts), 4096):
@@ -413,7 +452,7 @@ class History:
         live = {b: v | {"prints": []} for b, v in self.state["live"].items()}
         if texts:
             nothing = F.array().cast("array<struct<fp:bigint,chk:bigint>>")
-            records = self._texts().select(F.lit(0).cast("bigint").alias("rid"), nothing.alias("keys"), "id", canonical_set(F.col("canon")).alias("set"))
+            records = self._texts().select(F.lit(0).cast("bigint").alias("rid"), nothing.alias("keys"), "id", F.lit(0).cast("bigint").alias("chk"), "canon", canonical_set(F.col("canon")).alias("set"))
             notes = self._notes(materialize(self._in_buckets(records, name, live, True), "prints"))
             live = self._with(live, notes, ("prints",))
         before = self.state["order"]
@@ -439,96 +478,59 @@ class History:
                 order, fitted = self._fit(batch), True
             hits, notes = self._probe(batch, order)
             if not fitted and sum(n["hot"] for n in notes):
-                self._stale += [s[0] for n in notes for s in n.get("prints", [])]
+                self._stale += [s[0] for n in notes for kind in ("prints", "texts") for s in n.get(kind, [])]
                 hits, notes = self._probe(batch, self._fit(batch))
-            total = {k: sum(n[k] for n in notes) for k in ("probes", "read", "candidates", "members", "known", "repeated")}
-            rows, edges = self._marked(batch, hits, total)
+            total = {k: sum(n[k] for n in notes) for k in ("probes", "read", "candidates", "pairs", "known", "repeated")}
+            live = self._with(self.state["live"], notes, ("prints", "texts"))
+            rows, edges = self._marked(batch, hits, total, live)
             won = self._decide(rows.filter("contested"), edges)
             accepted = rows.filter("not contested")
             if won is not None:
                 accepted = accepted.unionByName(rows.filter("contested").join(won, "rid", "left_semi"))
             left = batch.select("rid").distinct().join(accepted.select("rid"), "rid", "left_anti")
-            keys = accepted.select(F.explode("keys").alias("k")).select(
-                self._bucket("k.fp"), F.lit(EXACT).cast("tinyint").alias("kind"), "k.fp", F.col("k.chk").alias("x"), F.lit(None).cast("string").alias("text")
-            )
-            texts = accepted.filter("canon is not null").select(
-                self._bucket("cls.fp"), F.lit(TEXT).cast("tinyint").alias("kind"), "cls.fp", F.lit(0).cast("bigint").alias("x"), F.col("canon").alias("text")
-            )
-            _, added = _together(lambda: left.coalesce(2).write.mode("overwrite").parquet(out), lambda: self._add(keys.unionByName(texts)))
-            live = self._with(self._with(self.state["live"], notes, ("prints",)), added, ("keys", "texts"))
+            keys = accepted.select(F.explode("keys").alias("k")).select(self._bucket("k.fp"), "k.fp", F.col("k.chk").alias("x"))
+            _, added = _together(lambda: left.coalesce(2).write.mode("overwrite").parquet(out), lambda: self._add(keys))
+            live = self._with(live, added, ("keys",))
             count = lambda kind: sum(s[2] for b in live.values() for s in b[kind])
             self.stats.append({"ingest": name, **total, "history_prints": count("prints"), "history_keys": count("keys")})
             self._committed(name, live, texts=count("texts"))
         return self.spark.read.schema("rid bigint").parquet(out)
 
-    def _marked(self, batch: DataFrame, hits: DataFrame, total: dict[str, int]) -> tuple[DataFrame, DataFrame | None]:
+    def _marked(self, batch: DataFrame, hits: DataFrame, total: dict[str, int], live: dict) -> tuple[DataFrame, DataFrame | None]:
         """The records that nothing in the history refuses, with ``contested`` where they share something within the
         batch; and ``(a, b)`` of the classes that are alike there, both ways."""
-        rows, contested = batch, F.lit(False)
+        rows, contested, edges = batch, F.lit(False), None
         if total["known"] + total["repeated"]:
             keys = hits.filter(F.col("kind").isin(KNOWN, REPEATED)).select("kind", "fp", F.col("x").alias("chk"))
             own = batch.select("rid", F.explode("keys").alias("k")).select("rid", "k.fp", "k.chk").join(keys, ["fp", "chk"])
             flags = own.groupBy("rid").agg(F.max(F.col("kind") == KNOWN).alias("_known"), F.max(F.col("kind") == REPEATED).alias("_again"))
             rows = rows.join(flags, "rid", "left").filter("not coalesce(_known, false)")
             contested = contested | F.coalesce("_again", F.lit(False))
-        covered, edges = _together(
-            lambda: materialize(self._covered(hits, batch), "covered") if total["candidates"] else None,
-            lambda: materialize(self._edges(hits, batch), "edges") if total["members"] else None,
-        )
-        if covered is not None:
-            rows = rows.join(covered, "cls", "left_anti")
-        if edges is not None:
-            near = edges.select(F.col("a").alias("cls")).distinct().withColumn("_near", F.lit(True))
-            rows = rows.join(near, "cls", "left")
+        if total["candidates"] + total["pairs"]:
+            like = materialize(self._alike(hits, live), "alike")
+            own = F.struct("fp", "chk").alias("cls")
+            flags = like.groupBy(own).agg(F.max(F.col("kind") == CANDIDATE).alias("_covered"), F.max(F.col("kind") == PAIR).alias("_near"))
+            rows = rows.join(flags, "cls", "left").filter("not coalesce(_covered, false)")
             contested = contested | F.coalesce("_near", F.lit(False))
-        rows = rows.select("rid", "ord", "keys", "cls", "canon", contested.alias("contested"))
-        return materialize(rows, "marked"), edges
+            if total["pairs"]:
+                edges = like.filter(F.col("kind") == PAIR).select(F.struct("fp", "chk").alias("a"), F.struct(F.col("ofp").alias("fp"), F.col("ochk").alias("chk")).alias("b"))
+        return materialize(rows.select("rid", "ord", "keys", "cls", contested.alias("contested")), "marked"), edges
 
-    @staticmethod
-    def _texts_of(hits: DataFrame, batch: DataFrame, kind: int) -> DataFrame:
-        """``(id, cls, canon)`` of the batch's texts that have hits of a kind, each once."""
-        ids = hits.filter(F.col("kind") == kind).select(F.col("ref").alias("id")).distinct()
-        held = batch.filter("canon is not null").select(F.col("cls.fp").alias("id"), "cls", "canon").join(ids, "id", "left_semi")
-        return held.groupBy("id", "cls").agg(F.first("canon").alias("canon"))
-
-    def _covered(self, hits: DataFrame, batch: DataFrame) -> DataFrame:
-        """Classes of the batch whose text shares the required part of an accepted one."""
-        root, commit = self.root, self._commit()
-        held = self._texts_of(hits, batch, CANDIDATE)
-        pairs = hits.filter(F.col("kind") == CANDIDATE).select(F.col("ref").alias("id"), F.col("other").alias("owner")).distinct()
-        pairs = pairs.join(held, "id").select(self._bucket("owner"), "owner", "cls", "canon")
+    def _alike(self, hits: DataFrame, live: dict) -> DataFrame:
+        """The candidate pairs that are alike by their texts; see :func:`_verify`."""
+        root, buckets, pending = self.root, self.buckets, f"commits/{self.state['version'] + 1:010d}.pending"
+        P.put(root, pending, [json.dumps({"live": live, "at": uuid.uuid4().hex}).encode()])
+        stamp = P.get(root, pending)[-40:]
 
-        def verify(batches):
-            now = P.document(root, commit)["live"]
+        def run(batches):
+            now = P.document(root, pending, stamp)["live"]
             for b in batches:
-                found = {}
-                owners = b.column("owner").to_numpy()
-                which = b.column("bucket").to_numpy()
-                for bucket in np.unique(which):
-                    ids = np.unique(owners[which == bucket].view(np.uint64))
-                    for name, _, _ in now.get(str(bucket), {"texts": []})["texts"]:
-                        s = P.Segment(root, name)
-                        key, (at, size) = s.find(ids)
-                        for k, a, n in zip(key.tolist(), at.tolist(), size.tolist()):
-                            found.setdefault(ids[k].view(np.int64).item(), []).append(_triples(s.bytes(a, n).decode()))
-                hit = [any(_share(_triples(t), x) for x in found.get(o, ())) for o, t in zip(owners.tolist(), b.column("canon").to_pylist())]
-                yield b.filter(pa.array(hit, pa.bool_())).select(["cls"])
-
-        # the texts of one bucket are shared by several tasks, so that one text with many candidates is no hot task
-        pairs = pairs.repartition("bucket", F.pmod(F.col("cls.chk"), F.lit(SLICES))).sortWithinPartitions("bucket", "owner")
-        return pairs.mapInArrow(verify, "cls struct<fp:bigint,chk:bigint>").distinct()
-
-    def _edges(self, hits: DataFrame, batch: DataFrame) -> DataFrame:
-        """``(a, b)`` of classes within the batch that are alike, both ways."""
-        held = self._texts_of(hits, batch, MEMBER)
-        m = hits.filter(F.col("kind") == MEMBER).select("fp", "ref", "x")
-        a, b = m.alias("a"), m.alias("b")
-        pairs = a.join(b, (F.col("a.fp") == F.col("b.fp")) & (F.col("a.ref") < F.col("b.ref"))).filter(_marks_allow(F.col("a.x"), F.col("b.x")))
-        pairs = pairs.select(F.col("a.ref").alias("p"), F.col("b.ref").alias("q")).distinct()
-        text = lambda c: held.select(F.col("id").alias(c), F.col("cls").alias(f"c{c}"), F.col("canon").alias(f"t{c}"))
-        got = pairs.join(text("p"), "p").join(text("q"), "q").filter(alike(canonical_set(F.col("tp")), canonical_set(F.col("tq"))))
-        both = F.array(F.struct(F.col("cp").alias("a"), F.col("cq").alias("b")), F.struct(F.col("cq").alias("a"), F.col("cp").alias("b")))
-        return got.select(F.explode(both).alias("e")).select("e.a", "e.b")
+                yield _verify(root, now, buckets, b)
+
+        pairs = hits.filter(F.col("kind").isin(CANDIDATE, PAIR)).select("kind", "ref", "other")
+        # the pairs of one text are shared by several tasks, so that a text with many candidates is no hot task
+        spread = F.pmod("other", F.lit(buckets)), F.pmod(F.xxhash64("ref"), F.lit(SLICES))
+        return pairs.repartition(*spread).sortWithinPartitions("other", "ref").mapInArrow(run, LIKE_DDL)
 
     def _decide(self, contested: DataFrame, edges: DataFrame | None) -> DataFrame | None:
         """``rid`` of the contested that are accepted, null if there are none to decide.
