@@ -36,13 +36,15 @@ from pyspark.sql import functions as F
 
 from gleanery.llm import fingerprints as P
 from gleanery.llm.shingles import DEN, NUM, SINGLE, _keys, _mix, canonical, canonical_set, fit_order
-from gleanery.session import discard, materialize, scratch, temporaries
+from gleanery.session import discard, materialize, scratch, settings, temporaries
 
 EXACT, TEXT = 0, 9  # kinds of rows that go to a bucket, beside the forms of signatures
 KNOWN, REPEATED, CANDIDATE, PAIR, NOTE = range(5)  # kinds of rows that come from it
 RARE = 2  # shingles that the fitted texts have at most so often sign alone
 HOT = 64  # texts under an element taken for rare, from which the order is fitted anew
 REFIT = 4
+# a small batch is read by few tasks; a large one still by as many as its bytes ask for
+FILES = {"spark.sql.files.minPartitionNum": "1", "spark.sql.files.openCostInBytes": "65536"}
 SLICES = 8  # tasks that may share the verification against the texts of one bucket
 MARK_BITS = 48
 ROWS = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("fp", pa.int64()), ("x", pa.int64()), ("ref", pa.int64()), ("text", pa.string())])
@@ -378,7 +380,8 @@ class History:
     # ---- tasks --------------------------------------------------------------------------------------------
 
     def _by_bucket(self, rows: DataFrame) -> DataFrame:
-        return rows.repartition(self.buckets, "bucket").sortWithinPartitions("bucket")
+        # no number of partitions: adaptive execution puts as many buckets into a task as are worth one
+        return rows.repartition("bucket").sortWithinPartitions("bucket")
 
     def _probe(self, batch: DataFrame, order: str) -> tuple[DataFrame, list[dict]]:
         """What the buckets find for a batch, and their notes (a row a bucket)."""
@@ -472,7 +475,7 @@ class History:
         out = f"{self.path}/refused/{name}"
         if name in self.state["ingests"]:
             return self.spark.read.schema("rid bigint").parquet(out)
-        with temporaries(self.spark):
+        with temporaries(self.spark), settings(self.spark, FILES):
             order, fitted = self.state["order"], False
             if order is None or self.state["texts"] >= REFIT * max(1, self.state["fitted"]):
                 order, fitted = self._fit(batch), True
@@ -494,6 +497,7 @@ class History:
             count = lambda kind: sum(s[2] for b in live.values() for s in b[kind])
             self.stats.append({"ingest": name, **total, "history_prints": count("prints"), "history_keys": count("keys")})
             self._committed(name, live, texts=count("texts"))
+        self.spark.sparkContext._jvm.System.gc()  # broadcast blocks of ended queries lie in memory, here and in executors, until then
         return self.spark.read.schema("rid bigint").parquet(out)
 
     def _marked(self, batch: DataFrame, hits: DataFrame, total: dict[str, int], live: dict) -> tuple[DataFrame, DataFrame | None]:
