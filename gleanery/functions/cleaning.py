@@ -22,11 +22,9 @@ def cleaned(c: Column | str) -> Column:
 
 
 def packed_key(c: Column) -> Column:
-    """A text key as bytes: a 64-digit hex digest takes 32 bytes, anything else its own text with a
-    marker that makes it longer than 32, so that two different keys never meet."""
-    return F.when(c.rlike("^[0-9a-f]{64}$"), F.unhex(c)).otherwise(
-        F.encode(F.concat(F.lit("?" * 33), c), "utf-8")
-    )
+    """A text key as bytes: a tag, and 32 bytes of a 64-digit hex digest or the text of anything else, so that two
+    different keys never meet."""
+    return F.when(c.rlike("^[0-9a-f]{64}$"), F.unhex(F.concat(F.lit("01"), c))).otherwise(F.encode(F.concat(F.lit("\x02"), c), "utf-8"))
 
 
 OFFSET_TIME = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d{1,9})?(Z|[+-]\d{2}:\d{2})$"

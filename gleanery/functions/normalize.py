@@ -2,15 +2,32 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Mapping
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
-# Extensions by image format, and what marks a field as secret or local.
-EXTENSIONS = {"JPEG": "jpg", "PNG": "png", "WEBP": "webp", "GIF": "gif", "BMP": "bmp", "TIFF": "tiff"}
-SECRET = r"(?i)(token|secret|password|api_?key|authorization)\s*[=:]\s*\S+"
-LOCAL_PATH = r"(?i)(/home/|/root/|/users/|[a-z]:\\)"
+# Extensions by image format, what marks a field as secret or local, and what stands in its place.
+EXTENSIONS = {"BMP": "bmp", "GIF": "gif", "JPEG": "jpg", "JPEG2000": "jp2", "PNG": "png", "TIFF": "tiff", "WEBP": "webp"}
+SECRET_MARKERS = ("authorization", "credential", "password", "secret", "signature", "token", "x-amz-credential", "x-amz-signature")
+LOCAL_PATH = r"^(~/|/|[A-Za-z]:[\\/])"
+REDACTED_SECRET, REDACTED_PATH = "[redacted-secret]", "[redacted-local-path]"
+LONGEST_TEXT, LONGEST_ID = 16_384, 1_024
+
+
+def _folded(marker: str) -> str:
+    """Pattern of the marker in any case, the letters that only case folding makes equal included."""
+    alike = {"s": "[sS\u017f]", "k": "[kK\u212a]"}
+    one = lambda c: alike.get(c) or (f"[{c}{c.upper()}]" if c.isalpha() else c)
+    return "".join("(?:[sS\u017f]{2}|[\u00df\u1e9e])" if part == "ss" else "".join(map(one, part)) for part in marker.replace("ss", "|ss|").split("|"))
+
+
+MARKED = "(?:" + "|".join(map(_folded, SECRET_MARKERS)) + ")"
+SECRET = f"{MARKED}=" + r"|(?:^|[^\p{L}\p{N}_])hf_[A-Za-z0-9]{16,}(?:$|[^\p{L}\p{N}_])"
 
 
 def mapped_label(raw: Column, mapping: Mapping[str, str], skip: Mapping[str, str] | None = None) -> tuple[Column, Column]:
@@ -25,28 +42,44 @@ def mapped_label(raw: Column, mapping: Mapping[str, str], skip: Mapping[str, str
     return label, reason
 
 
-def redacted(text: Column, longest: int = 200) -> Column:
-    """Secrets and local paths replaced by ``[redacted]`` as a whole; other text cut at ``longest`` characters."""
-    return F.when(text.rlike(SECRET) | text.rlike(LOCAL_PATH), "[redacted]").otherwise(F.substring(text, 1, longest))
+def redacted(text: Column, longest: int = LONGEST_TEXT) -> Column:
+    """A text with a secret or that is a local path gives a marker in its place, any other its first ``longest``
+    characters; null stays null.  A secret is a marker word with ``=`` behind it, or an access token."""
+    return (
+        F.when(text.rlike(SECRET), REDACTED_SECRET).when(text.rlike(LOCAL_PATH), REDACTED_PATH).when(text.isNotNull(), F.substring(text, 1, longest))
+    )
 
 
-def sample_id(raw: Column, longest: int = 200) -> Column:
-    """Trimmed and cut; null if nothing is left."""
-    return F.nullif(F.substring(F.btrim(raw, F.lit(" \t\r\n")), 1, longest), F.lit(""))
+def sample_id(raw: Column, longest: int = LONGEST_ID) -> Column:
+    """P10: redacted, cut and trimmed; null if nothing is left."""
+    return F.nullif(F.btrim(redacted(raw, longest), F.lit(" \t\r\n\f\u000b")), F.lit(""))
 
 
-def extension(fmt: Column) -> Column:
-    """File extension of an image format; an unknown one gives its own letters and digits, or ``bin``."""
-    known = F.create_map(*[F.lit(x) for kv in EXTENSIONS.items() for x in kv])[F.upper(F.btrim(fmt))]
+def extension(fmt: Column, strict: bool = False) -> Column:
+    """File extension of an image format; an unknown one gives its own letters and digits.  A format without any
+    gives null, or with ``strict`` fails."""
+    known = F.create_map(*[F.lit(x) for kv in EXTENSIONS.items() for x in kv])[F.upper(fmt)]
     own = F.nullif(F.regexp_replace(F.lower(fmt), "[^a-z0-9]", ""), F.lit(""))
-    return F.coalesce(known, own, F.lit("bin"))
+    found = F.coalesce(known, own)
+    return F.when(found.isNull(), F.raise_error(F.lit("image format has no safe extension"))).otherwise(found) if strict else found
 
 
 def safe_path(path: Column) -> Column:
-    """Whether a path of an archive stays inside it: relative, no drive, no backslash, no empty, ``.`` or ``..`` part."""
-    parts = F.split(path, "/")
+    """Whether a path of an archive stays inside it: not empty, relative, no colon, no backslash, no NUL, and no empty,
+    ``.`` or ``..`` part but for slashes at the end.  Null is unsafe."""
+    parts = F.split(F.regexp_replace(path, "/+$", ""), "/")
     bad = F.exists(parts, lambda p: p.isin("", ".", ".."))
-    return path.isNotNull() & ~path.startswith("/") & ~path.contains("\\") & ~path.rlike("^[A-Za-z]:") & ~bad
+    return F.coalesce(~path.startswith("/") & ~path.contains("\\") & ~path.contains(":") & ~path.contains("\x00") & ~bad, F.lit(False))
+
+
+def contained_path(path: Column, folder: str, stem: Column | None = None) -> Column:
+    """Whether a portable path is ``folder/name.extension``, nothing above or below, and has the ``stem`` asked for."""
+    parts = F.split(path, "/")
+    name = F.get(parts, 1)
+    ok = (F.size(parts) == 2) & (F.get(parts, 0) == folder) & safe_path(path) & (name != "")
+    if stem is not None:
+        ok = ok & F.regexp_replace(name, r"(?<=.)\.[^.]*$", "").eqNullSafe(stem)
+    return F.coalesce(ok, F.lit(False))
 
 
 def path_parts(path: Column) -> tuple[Column, Column, Column]:
@@ -62,7 +95,46 @@ def strict_bool(text: Column) -> Column:
     return F.when(text == "true", True).when(text == "false", False)
 
 
-def sensitive_state(state: Column) -> Column:
-    """Whether any key or value of a string map looks secret or names a local path."""
-    pairs = F.transform(F.map_entries(state), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit(""))))
-    return F.coalesce(F.exists(pairs, lambda p: p.rlike(SECRET) | p.rlike(LOCAL_PATH)), F.lit(False))
+@F.pandas_udf(BooleanType())
+def sensitive_state(state: pd.Series) -> pd.Series:
+    """Whether a state, JSON text of any depth, has a key that a marker word is part of, or a text that is secret or a
+    local path.  Null has none; text that is no JSON counts as sensitive, for it can't be looked into."""
+    marked, secret, local = re.compile(MARKED), re.compile(SECRET.replace(r"\p{L}\p{N}_", r"\w")), re.compile(LOCAL_PATH)
+
+    def bad(v: object) -> bool:
+        if isinstance(v, dict):
+            return any(marked.search(k) is not None or bad(x) for k, x in v.items())
+        if isinstance(v, list):
+            return any(map(bad, v))
+        return isinstance(v, str) and (secret.search(v) is not None or local.match(v) is not None)
+
+    def one(x: str | None) -> bool:
+        try:
+            return x is not None and bad(json.loads(x))
+        except (ValueError, RecursionError):
+            return True
+
+    return state.map(one).astype(bool)
+
+
+def number_or_nan(text: Column) -> Column:
+    """Text as a number, NaN where it is none or null."""
+    return F.coalesce(text.try_cast("double"), F.lit(float("nan")))
+
+
+def component_path(component: Column, roots: Mapping[str, str], relative: Column) -> Column:
+    """The path below the root of the row's component; a component without root fails when it runs."""
+    root = F.create_map(*[F.lit(x) for kv in roots.items() for x in kv])[component]
+    checked = F.coalesce(root, F.raise_error(F.concat(F.lit("unknown component: "), F.coalesce(component, F.lit("null")))).cast("string"))
+    return F.concat_ws("/", checked, relative)
+
+
+def source_group(dataset: Column, groups: Mapping[str, str]) -> Column:
+    """The group of a dataset; one on no list fails when it runs."""
+    found = F.create_map(*[F.lit(x) for kv in groups.items() for x in kv])[dataset]
+    return F.coalesce(found, F.raise_error(F.concat(F.lit("unknown dataset: "), F.coalesce(dataset, F.lit("null")))).cast("string"))
+
+
+def annotator_ok(name: Column) -> Column:
+    """Whether a name of an annotator is letters, digits, underscore and hyphen only."""
+    return F.coalesce(name.rlike("^[A-Za-z0-9_-]+$"), F.lit(False))

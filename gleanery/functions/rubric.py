@@ -37,16 +37,19 @@ def level_index(name: Column) -> Column:
 
 
 def validation_error(level_col: Column) -> Column:
-    """The first rule an annotation breaks, or null if it keeps them all."""
+    """The first rule an annotation breaks, or null if it keeps them all."""
     total = score()
     c = F.col
     return (
         F.when(F.coalesce(c("content_hash"), F.lit("")) == "", "missing_hash")
+        .when(F.coalesce(c("blind_id"), F.lit("")) == "", "missing_blind_id")
         .when(total.isNull(), "axis_out_of_range")
         .when(~c("sensitivity_score").eqNullSafe(total), "score_mismatch")
         .when(~level_col.eqNullSafe(level(total)), "level_mismatch")
         .when(F.coalesce(F.length("sensitivity_rationale"), F.lit(0)) > LONGEST_RATIONALE, "rationale_too_long")
         .when(~F.coalesce(c("annotation_confidence").isin(CONFIDENCES), F.lit(False)), "unknown_confidence")
+        .when(c("needs_review").isNull(), "needs_review_missing")
+        .when(~F.coalesce(c("annotation_round") >= 1, F.lit(False)), "round_not_positive")
         .when(~F.coalesce(c("annotated_at").rlike(OFFSET_TIME), F.lit(False)), "time_without_offset")
     )
 
@@ -67,19 +70,21 @@ def argmax_first(names: list[str], values: list[Column]) -> Column:
 
 
 def probabilities_consistent(values: list[Column], confidence: Column) -> Column:
-    """Whether the values sum to 1 within 1e-5 and the confidence is their largest."""
-    total = sum(values, F.lit(0.0))
-    return (F.abs(total - 1) <= F.greatest(1e-9 * F.greatest(F.abs(total), F.lit(1.0)), F.lit(1e-5))) & (
-        F.abs(confidence - F.greatest(*values)) <= 1e-9
-    )
+    """Whether the values sum to 1 and the confidence is their largest, both within 1e-5."""
+    return _close(sum(values, F.lit(0.0)), F.lit(1.0)) & _close(confidence, F.greatest(*values))
+
+
+def _close(a: Column, b: Column, relative: float = 1e-9, absolute: float = 1e-5) -> Column:
+    return F.abs(a - b) <= F.greatest(relative * F.greatest(F.abs(a), F.abs(b)), F.lit(absolute))
 
 
-def priority(p: list[Column], confidence: Column, f1: Column) -> Column:
-    """Active-learning priority: ``2 high + (1 - confidence) + (1 - margin) + (1 - f1) / 4``, where the margin is
-    that of the two largest probabilities and an unknown ``f1`` counts as 1."""
+def priority(predicted: Column, p: list[Column], confidence: Column, f1: Column) -> Column:
+    """P25: active-learning priority: ``2`` where high is predicted, ``+ (1 - confidence) + (1 - margin) + (1 - f1) / 4``,
+    where the margin is that of the two largest probabilities and an unknown ``f1`` counts as 1."""
     down = F.sort_array(F.array(*p), asc=False)
     margin = F.get(down, 0) - F.get(down, 1)
-    return 2 * p[-1] + (1 - confidence) + (1 - margin) + 0.25 * (1 - F.coalesce(f1, F.lit(1.0)))
+    high = F.when(F.coalesce(predicted == LEVELS[-1], F.lit(False)), 2.0).otherwise(0.0)
+    return high + (1 - confidence) + (1 - margin) + 0.25 * (1 - F.coalesce(f1, F.lit(1.0)))
 
 
 def ordinal_decode(p1: Column, p2: Column, t1: float, t2: float) -> Column:
@@ -101,3 +106,19 @@ def fused_fake(p_fake: Column, rho: Column, epsilon: Column | float) -> Column:
 def half_even(x: Column) -> Column:
     """Rounded to a whole number, halves to the even one."""
     return F.bround(x).cast("long")
+
+
+def signed_error(predicted: Column, truth: Column) -> tuple[Column, Column]:
+    """Distance of two levels in ranks, signed and absolute; null unless both are levels."""
+    e = level_index(predicted) - level_index(truth)
+    return e, F.abs(e)
+
+
+def planned_risk(domain_risk: Column, harm: Column, realism: Column) -> Column:
+    """Half the domain's risk, three tenths of the harm and two of the realism."""
+    return 0.5 * domain_risk + 0.3 * harm + 0.2 * realism
+
+
+def needs_review_default(confidence: Column) -> Column:
+    """What ``needs_review`` is before anyone decides: true for low confidence."""
+    return F.coalesce(confidence == "low", F.lit(False))

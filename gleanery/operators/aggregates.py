@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gleanery.operators.sampling import numbered
+
 
 def pivot_counts(df: DataFrame, row: str, col: str, values: list[str]) -> DataFrame:
     """Counts per ``row`` with one column per value (0 where there are none) and ``other``."""
@@ -26,15 +29,11 @@ def progress(df: DataFrame, batch: str, key: str, flags: list[str]) -> DataFrame
     return per.unionByName(total.select(F.lit(None).cast(df.schema[batch].dataType).alias(batch), "items", *flags, F.lit(True).alias("is_total")))
 
 
-def duplicate_groups(df: DataFrame, key: str, member: str, listed: int = 20) -> DataFrame:
-    """Keys with more than one member: how many, least and greatest, and the first ``listed`` (a report; :func:`duplicate_members` has all)."""
+def duplicate_groups(df: DataFrame, key: str, member: str) -> DataFrame:
+    """Keys with more than one member: how many, least and greatest; :func:`duplicate_members` lists them."""
     rows = df.filter(F.col(key).isNotNull()).select(key, member).distinct()
-    ranked = rows.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy(member))).filter(F.col("_r") <= listed)
-    heads = ranked.groupBy(key).agg(F.array_sort(F.collect_list(member)).alias("_l"))
     counts = rows.groupBy(key).agg(F.count("*").alias("members"), F.min(member).alias("first_member"), F.max(member).alias("last_member"))
-    return counts.filter("members > 1").join(heads, key).select(
-        key, "members", "first_member", "last_member", F.array_join(F.transform("_l", lambda x: x.cast("string")), ",").alias("listed")
-    )
+    return counts.filter("members > 1")
 
 
 def duplicate_members(df: DataFrame, key: str, member: str) -> DataFrame:
@@ -69,9 +68,21 @@ def set_digest(df: DataFrame, row: Column) -> DataFrame:
     return df.select(h.alias("h")).agg(F.count("*").alias("rows"), F.sum(F.col("h").cast("decimal(38,0)")).cast("string").alias("hash_sum"), F.bit_xor("h").alias("hash_xor"))
 
 
-def ordered_digest(df: DataFrame, group: list[str], item: str) -> DataFrame:
-    """sha256 of each group's sorted items joined by line feeds; for groups of bounded size (a split, a batch)."""
-    return df.groupBy(*group).agg(F.count(item).alias("items"), F.sha2(F.array_join(F.array_sort(F.collect_list(item)), "\n"), 256).alias("digest"))
+def ordered_digest(df: DataFrame, group: list[str], item: str, fan: int = 1000) -> DataFrame:
+    """sha256 of each group's sorted items (texts) joined by line feeds; above ``fan`` items, of the digests of runs of
+    ``fan`` sorted items, and so on, a tree.  No list is longer than ``fan``; null items count for nothing."""
+    rows = numbered(df.filter(F.col(item).isNotNull()).select(*group, F.col(item).alias("_x")), [*group, "_x"], "_no")
+    first = rows.groupBy(*group).agg(F.min("_no").alias("_first"), F.count("*").alias("items"))
+    same = reduce(lambda a, b: a & b, [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in group])
+    rows = rows.alias("a").join(first.alias("b"), same).select(*[F.col(f"a.{g}").alias(g) for g in group], (F.col("_no") - F.col("_first")).alias("_at"), "_x", "items")
+    most = rows.agg(F.max("items")).first()[0] or 0  # one number: how deep the tree is
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_x"))), lambda s: s["_x"]), "\n")
+    while True:
+        run = F.floor(F.col("_at") / fan).alias("_at")
+        rows = rows.groupBy(*group, "items", run).agg(F.sha2(joined, 256).alias("_x"))
+        if most <= fan:
+            return rows.select(*group, "items", F.col("_x").alias("digest"))
+        most = -(-most // fan)
 
 
 def reindexed_counts(df: DataFrame, col: str, values: list[str]) -> DataFrame:

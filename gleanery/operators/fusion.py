@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions.keys import rank_key
 from gleanery.functions.rubric import prudence
+from gleanery.operators.sampling import numbered, with_next
 
 
 def epsilon_grid(spark: SparkSession, steps: int = 100, top: float = 0.5) -> DataFrame:
@@ -109,7 +110,7 @@ def breakpoints(df: DataFrame, weights: tuple[float, float, float], most: float
     policies are the half-open intervals between them.  ``changed`` rows change at the lower end."""
     at = F.try_divide(0.5 - F.col("p_fake"), F.nullif(prudence(weights), F.lit(0.0)))
     points = df.select(F.round(at, 9).alias("lower")).filter(F.col("lower").between(0, most) & (F.col("lower") < most)).groupBy("lower").agg(F.count("*").alias("changed"))
-    return points.withColumn("upper", F.coalesce(F.lead("lower").over(W.orderBy("lower")), F.lit(most)))
+    return with_next(points, "lower", "upper", F.lit(most))
 
 
 def exact_breakpoints(df: DataFrame, weights: tuple[Fraction, Fraction, Fraction], key: str) -> DataFrame:
@@ -141,13 +142,34 @@ def best(rows: DataFrame, feasible: Column, criteria: list[Column], k: int = 1)
 
 
 def with_fold(df: DataFrame, key: str, label: str, folds: int = 5, seed: int = 20) -> DataFrame:
-    """A fold from 0 per row, spread evenly within each label by the rank key.
+    """A fold from 0 per row, stratified: rows are numbered by label and rank key, and dealt to the folds in turn, so
+    that the folds of a label differ by one row at most.  Numbered over range partitions; no label is one task."""
+    return numbered(df, [label, rank_key(seed, "fold", key), key], "_n").withColumn("fold", F.pmod(F.col("_n") - 1, F.lit(folds)).cast("int")).drop("_n")
 
-    Ranks within a label are numbered by a hash of the key, so folds are equal in expectation and no label is
-    sorted as a whole: the digest itself, modulo the folds, is the fold.
+
+def fold_stability(df: DataFrame, key: str, weights: tuple[float, float, float], epsilons: list[float], folds: int = 5, seed: int = 20) -> DataFrame:
+    """Of each fold the epsilon that the other folds choose (recall on fakes, then accuracy, then the smaller), and
+    the accuracy and recall it has on the fold itself.
+
+    ``df``: key, p_fake, p_low, p_medium, p_high, fake.  Rows are counted by fold and the first epsilon that makes them
+    fake, and those counts, of the size of the grid, accumulated: each row is read once for all folds and policies.
     """
-    number = F.conv(F.substring(rank_key(seed, "fold", key), 1, 12), 16, 10).cast("long")
-    return df.withColumn("fold", F.pmod(number, F.lit(folds)).cast("int"))
+    rows = with_fold(df.withColumn("_l", F.col("fake").cast("int")), key, "_l", folds, seed)
+    rho = prudence(weights)
+    eps = F.array(*[F.lit(e) for e in epsilons])
+    first = F.size(F.filter(eps, lambda e: ~(F.col("p_fake") >= 0.5 - e * rho)))
+    cells = rows.select("fold", first.alias("at"), "fake").groupBy("fold", "at", "fake").agg(F.count("*").alias("n"))
+    grid = cells.select("*", F.posexplode(eps).alias("i", "epsilon"))  # grid x folds x 2 cells at most, by the grid
+    hit = F.col("at") <= F.col("i")
+    n = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    per = grid.groupBy("fold", "i", "epsilon").agg(n(hit == F.col("fake")).alias("right"), n(F.col("fake") & hit).alias("tp"), n(F.col("fake")).alias("fakes"), n(F.lit(True)).alias("rows"))
+    every = per.groupBy("i").agg(*[F.sum(c).alias(f"all_{c}") for c in ("right", "tp", "fakes", "rows")])
+    both = per.join(every, "i")
+    rest = lambda c: F.col(f"all_{c}") - F.col(c)
+    div = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), F.nullif(b.cast("double"), F.lit(0.0))), F.lit(0.0))
+    order = W.partitionBy("fold").orderBy(div(rest("tp"), rest("fakes")).desc(), div(rest("right"), rest("rows")).desc(), F.col("epsilon"))  # the grid a fold
+    chosen = both.withColumn("_r", F.row_number().over(order)).filter("_r = 1")
+    return chosen.select("fold", "epsilon", "rows", F.round(div(F.col("right"), F.col("rows")), 6).alias("accuracy"), F.round(div(F.col("tp"), F.col("fakes")), 6).alias("recall"))
 
 
 def threshold_grid(spark: SparkSession, n: int = 21, low: float = 0.3, step: float = 0.02) -> DataFrame:

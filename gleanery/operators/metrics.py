@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gleanery.operators.sampling import numbered
+from gleanery.operators.sampling import numbered, with_sum_before
 
 
 def confusion(p: Column, truth: Column, threshold: float = 0.5) -> list[Column]:
@@ -45,8 +45,7 @@ def rank_auc(df: DataFrame, p: str, truth: str, ordinal: str, ties: str = "stabl
     rows = df.filter(F.col(p).isNotNull() & F.col(truth).isNotNull())
     if ties == "average":
         hist = rows.groupBy(p).agg(F.count_if(truth).alias("pos"), F.count_if(~F.col(truth)).alias("neg"))
-        below = F.sum("neg").over(W.orderBy(p).rowsBetween(W.unboundedPreceding, -1))  # one row per distinct value
-        got = hist.withColumn("_b", F.coalesce(below, F.lit(0))).agg(
+        got = with_sum_before(hist, p, "neg", "_b").agg(
             F.sum(F.col("pos") * (F.col("_b") + F.col("neg") / 2)).alias("wins"), F.sum("pos").alias("positives"), F.sum("neg").alias("negatives")
         )
     else:
@@ -128,3 +127,45 @@ def largest_errors(df: DataFrame, error: Column, keys: list[str], k: int = 15) -
     """The ``k`` rows of largest error with their rank (a report)."""
     rows = df.withColumn("error", error).filter("error is not null").orderBy(F.col("error").desc(), *keys).limit(k)
     return rows.withColumn("rank", F.row_number().over(W.orderBy(F.col("error").desc(), *keys)))
+
+
+def component_accuracy(df: DataFrame, pairs: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """Per component of a rubric the rows that have both values, the share that is equal, and the mean distance."""
+    one = [F.struct(F.lit(k).alias("component"), F.count(p - t).alias("n"), F.round(F.avg((p == t).cast("double")), 6).alias("accuracy"), F.round(F.avg(F.abs(p - t)), 6).alias("mae")) for k, (t, p) in pairs.items()]
+    return df.agg(F.array(*one).alias("x")).select(F.inline("x"))
+
+
+def error_distances(table: DataFrame, classes: int) -> DataFrame:
+    """Of a :func:`contingency` table the rows at each distance of ranks, 0 included; with ``balanced_accuracy``, the
+    mean recall of the classes that occur."""
+    d = F.abs(F.col("t") - F.col("p"))
+    counts = F.array(*[F.struct(F.lit(i).alias("distance"), F.coalesce(F.sum(F.when(d == i, F.col("n"))), F.lit(0)).alias("n")) for i in range(classes)])
+    recalls = [F.try_divide(F.sum(F.when((F.col("t") == i) & (F.col("p") == i), F.col("n")).otherwise(0)).cast("double"), F.nullif(F.sum(F.when(F.col("t") == i, F.col("n")).otherwise(0)).cast("double"), F.lit(0.0))) for i in range(classes)]
+    there = F.filter(F.array(*recalls), lambda x: x.isNotNull())
+    mean = F.try_divide(F.aggregate(there, F.lit(0.0), lambda a, x: a + x), F.nullif(F.size(there).cast("double"), F.lit(0.0)))
+    return table.agg(counts.alias("x"), F.round(mean, 6).alias("balanced_accuracy")).select(F.inline("x"), "balanced_accuracy")
+
+
+def top_recall(df: DataFrame, truth: Column, pred: Column, top: int) -> DataFrame:
+    """Recall on the rows whose true class is ``top``; a prediction that is null, as after a failed parse, is a miss
+    and counted as ``unparsed``."""
+    is_top = F.coalesce(truth == top, F.lit(False))
+    hit = is_top & F.coalesce(pred == top, F.lit(False))
+    recall = F.try_divide(F.count_if(hit).cast("double"), F.nullif(F.count_if(is_top).cast("double"), F.lit(0.0)))
+    return df.agg(F.count_if(is_top).alias("support"), F.count_if(hit).alias("hits"), F.count_if(is_top & pred.isNull()).alias("unparsed"), F.round(recall, 6).alias("recall"))
+
+
+def krippendorff(ratings: DataFrame, unit: str, rater: str, value: Column) -> DataFrame:
+    """Krippendorff's alpha for nominal values: 1 - observed / expected disagreement, null where none is expected.
+
+    Of each unit with two raters or more the counts of each value are enough, so no pair of raters is formed.
+    """
+    rows = ratings.select(F.col(unit).alias("u"), F.col(rater).alias("r"), value.alias("v")).dropna().distinct()
+    cells = rows.groupBy("u", "v").agg(F.count("*").alias("n"))
+    units = cells.groupBy("u").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("q")).filter("m > 1")
+    seen = units.agg(F.sum("m").alias("total"), F.sum((F.col("m") * F.col("m") - F.col("q")) / (F.col("m") - 1)).alias("o"), F.count("*").alias("units"))
+    values = cells.join(units.select("u"), "u", "left_semi").groupBy("v").agg(F.sum("n").alias("n"))
+    square = values.agg(F.sum(F.col("n") * F.col("n")).alias("s"))
+    expected = F.try_divide(F.col("total") * F.col("total") - F.col("s"), F.nullif(F.col("total") - 1, F.lit(0)))
+    alpha = 1 - F.try_divide(F.col("o"), F.nullif(expected.cast("double"), F.lit(0.0)))
+    return seen.join(F.broadcast(square), F.lit(True)).select("units", F.col("total").alias("ratings"), F.round(alpha, 6).alias("alpha"))  # one row each

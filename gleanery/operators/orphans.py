@@ -7,7 +7,8 @@ carries the whole operator; no parent-child pair is ever formed.
 
 Hot keys.  One key may hold a third of all rows, so its group must not be one task.  Keys with more
 than ``hot_rows`` rows are found by a heavy-hitter sketch (its size is a parameter), their time axis is
-cut at quantiles into ``segments`` and each segment is a group of its own.  What earlier segments
+cut at quantiles into segments of about ``hot_rows`` rows, as many as that takes, and each segment is a
+group of its own.  What earlier segments
 leave alive enters a later one as a *carry* row, computed from per-segment sums.  The result is the
 same for any segmentation.
 """
@@ -73,20 +74,23 @@ def _child_events(c: Child) -> DataFrame:
     ).filter("key is not null")
 
 
-def _hot(events: DataFrame, hot_rows: int, tracked: int, segments: int) -> list[tuple[int, list[int]]]:
-    """(hash of parent and key, inner segment bounds in microseconds) of at most ``tracked`` heavy keys."""
+def _hot(events: DataFrame, hot_rows: int, tracked: int, most: int) -> list[tuple[int, list[int]]]:
+    """(hash of parent and key, inner segment bounds in microseconds) of at most ``tracked`` heavy keys: a bound for every
+    ``hot_rows`` rows that the sketch counts, at most ``most`` - 1 a key."""
     h = events.select(F.xxhash64("parent", "key").alias("h"), F.unix_micros("t").alias("us")).filter("us is not null")
     top = h.agg(F.expr(f"approx_top_k(h, {tracked}, {tracked * 16})").alias("top")).first()["top"] or []
-    heavy = [r["item"] for r in top if r["count"] >= hot_rows]
+    heavy = {r["item"]: max(2, min(most, -(-r["count"] // hot_rows))) for r in top if r["count"] >= hot_rows}
     if not heavy:
         return []
-    cuts = [i / segments for i in range(1, segments)]
-    rows = h.filter(F.col("h").isin(heavy)).groupBy("h").agg(F.percentile_approx("us", cuts, 1000).alias("b")).collect()
-    return [(r["h"], sorted(set(r["b"]))) for r in rows]
+    # each power of two of segments has its own aggregate, so that a key gets as many quantiles as it needs
+    sizes = sorted({1 << (n - 1).bit_length() for n in heavy.values()})
+    quantiles = [F.percentile_approx("us", [i / n for i in range(1, n)], max(1000, 4 * n)).alias(f"b{n}") for n in sizes]
+    rows = h.filter(F.col("h").isin(list(heavy))).groupBy("h").agg(*quantiles).collect()
+    return [(r["h"], sorted(set(r[f"b{1 << (heavy[r['h']] - 1).bit_length()}"]))) for r in rows]
 
 
 def orphans(
-    children: list[Child], parents: list[Parent], hot_rows: int = 50_000, tracked: int = 256, segments: int = 32
+    children: list[Child], parents: list[Parent], hot_rows: int = 50_000, tracked: int = 256, most_segments: int = 4096
 ) -> DataFrame:
     """``(parent, table_name, row_id, time)`` of every child row whose key no parent row has at its time.
 
@@ -94,12 +98,12 @@ def orphans(
     parent's interval, so such a row is an orphan; a parent without ``start`` or with ``end <= start``
     is never there; a repeated row is one record; with empty parents every key is an orphan, with
     empty children the result is empty.  Only the columns named in the specs are read, so further
-    columns may have any name.  ``tracked`` bounds what the driver holds of hot keys
-    (``tracked x segments`` numbers) and what is broadcast.
+    columns may have any name.  ``tracked`` and ``most_segments`` bound what the driver holds of hot keys
+    and what is broadcast: the bounds together are at most the rows divided by ``hot_rows / 2``.
     """
     child = _union([_child_events(c) for c in children])
     events = _union([_parent_events(p) for p in parents]).unionByName(child.filter("t is not null"))
-    hot = _hot(events, hot_rows, tracked, segments)
+    hot = _hot(events, hot_rows, tracked, most_segments)
     if hot:
         events = _segmented(events, hot)
     else:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions.keys import rank_key
 from gleanery.session import materialize
+from gleanery.streaming.collect import accept
 
 
 def hash_rank_top_k(df: DataFrame, strata: list[str], key: str, k: int, seed: int = 42, purpose: str = "sample") -> DataFrame:
@@ -36,6 +37,30 @@ def numbered(df: DataFrame, order: list[Column | str], into: str = "position") -
     return rows.join(offsets, "_part").withColumn(into, F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
 
 
+def _by_range(df: DataFrame, col: str, what: str) -> DataFrame:
+    """``df`` sorted by ``col`` over range partitions, as a table, with the number of each row's partition as ``_part``."""
+    return materialize(df.repartitionByRange(col).withColumn("_part", F.spark_partition_id()), what)
+
+
+def with_next(df: DataFrame, col: str, into: str, last: Column) -> DataFrame:
+    """Each row with the next value of ``col`` over the whole frame, ``last`` for the greatest, without one task that sees
+    all: within range partitions by ``lead``, across them by the first value of the next (a row a partition)."""
+    rows = _by_range(df, col, "ranges")
+    firsts = rows.groupBy("_part").agg(F.min(col).alias("_first"))  # one row a partition
+    after = F.broadcast(firsts.select("_part", F.lead("_first").over(W.orderBy("_part")).alias("_after")))
+    within = F.lead(col).over(W.partitionBy("_part").orderBy(col))
+    return rows.join(after, "_part").withColumn(into, F.coalesce(within, F.col("_after"), last)).drop("_part", "_after")
+
+
+def with_sum_before(df: DataFrame, col: str, value: str, into: str) -> DataFrame:
+    """Each row with the sum of ``value`` over all rows of lesser ``col``; ``col`` is unique.  As :func:`with_next`."""
+    rows = _by_range(df, col, "ranges")
+    sums = rows.groupBy("_part").agg(F.sum(value).alias("_n"))  # one row a partition
+    before = F.broadcast(sums.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before")))
+    within = F.coalesce(F.sum(value).over(W.partitionBy("_part").orderBy(col).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(before, "_part").withColumn(into, F.col("_before") + within).drop("_part", "_before")
+
+
 def bucketed(df: DataFrame, strata: list[str], key: str, buckets: int, size: int, seed: int = 42) -> DataFrame:
     """Of each stratum ``buckets`` runs of ``size`` consecutive hash ranks, numbered from 0 as ``bucket``."""
     got = hash_rank_top_k(df, strata, key, buckets * size, seed, "bucket")
@@ -96,17 +121,10 @@ def representative_and_targeted(df: DataFrame, key: str, row_key: str, score: st
 def quota_prefix(df: DataFrame, key: str, label: str, order: list[str], quotas: dict[str, int], target: int) -> DataFrame:
     """Rows accepted in stream order: first of its key, label below its quota, total below the target.
 
-    Equal to the sequential rule unless a key stands under two labels and its first row met a full
-    one; :mod:`gleanery.streaming.collect` decides that case too.  Null keys and labels are not accepted.
+    Decided as :func:`gleanery.streaming.collect.accept` does, exactly as one after the other.  Null keys and labels are
+    not accepted.
     """
-    rows = df.filter(F.col(key).isNotNull() & F.col(label).isin(list(quotas)))
-    first = rows.groupBy(key).agg(F.min(F.struct(*order, label)).alias("f")).select(key, *[F.col(f"f.{c}").alias(c) for c in [*order, label]])
-    quota = F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv])[F.col(label)]
-    most = max(quotas.values(), default=0)
-    in_label = first.withColumn("label_rank", F.row_number().over(W.partitionBy(label).orderBy(*order, key))).filter(F.col("label_rank") <= most)
-    in_label = in_label.filter(F.col("label_rank") <= quota)
-    # at most the sum of the quotas is left, and of it the target
-    return in_label.orderBy(*order, key).limit(target)
+    return accept(df, key, label, order, quotas, target)
 
 
 def twister_sample(keys: list[str], size: int, seed: int) -> list[str]:

@@ -61,29 +61,30 @@ def p04_rubric_level(t, spark):
     return t("annotations").select("annotation_id", R.score().alias("score"), R.level(R.score()).alias("level")).filter("score is not null")
 
 
-@query(
-    f"""with a as (select *, public_relevance + harm_urgency + vulnerability as s, {CLEAN("sensitivity_level")} as l from annotations),
-e as (select case
-  when coalesce(content_hash, '') = '' then 'missing_hash'
+_BROKEN = f"""case
+  when coalesce(content_hash, '') = '' then 'missing_hash' when coalesce(blind_id, '') = '' then 'missing_blind_id'
   when not coalesce(public_relevance between 0 and 2 and harm_urgency between 0 and 2 and vulnerability between 0 and 1, false) then 'axis_out_of_range'
-  when sensitivity_score is distinct from s then 'score_mismatch'
-  when l is distinct from (case when s <= 1 then 'low' when s <= 3 then 'medium' else 'high' end) then 'level_mismatch'
+  when sensitivity_score is distinct from public_relevance + harm_urgency + vulnerability then 'score_mismatch'
+  when {CLEAN("sensitivity_level")} is distinct from (case when sensitivity_score <= 1 then 'low' when sensitivity_score <= 3 then 'medium' else 'high' end) then 'level_mismatch'
   when length(coalesce(sensitivity_rationale, '')) > 280 then 'rationale_too_long'
   when not coalesce(annotation_confidence in ('low', 'medium', 'high'), false) then 'unknown_confidence'
-  when not coalesce(regexp_matches(annotated_at, '(Z|[+-]\\d\\d:\\d\\d)$'), false) then 'time_without_offset' end as validation_error from a)
-select validation_error, count(*) as rows from e group by 1"""
-)
+  when needs_review is null then 'needs_review_missing' when not coalesce(annotation_round >= 1, false) then 'round_not_positive'
+  when not coalesce(regexp_matches(annotated_at, '(Z|[+-]\\d\\d:\\d\\d)$'), false) then 'time_without_offset' end"""
+
+
+@query(f"select {_BROKEN} as validation_error, count(*) as rows from annotations group by 1")
 def p05_validation_errors(t, spark):
     error = R.validation_error(cleaned("sensitivity_level"))
     return t("annotations").groupBy(error.alias("validation_error")).agg(F.count("*").alias("rows"))
 
 
 @query(
-    r"""select doc_kind, count(*) as rows, count_if(regexp_matches(text, '(?i)(token|secret|password|api_?key|authorization)[ \t\n\v\f\r]*[=:][ \t\n\v\f\r]*[^ \t\n\v\f\r]+')
- or regexp_matches(text, '(?i)(/home/|/root/|/users/|[a-z]:\\)')) as redacted from documents group by 1"""
+    f"""select doc_id, md5(case when regexp_matches(text, '{N.SECRET}') then '{N.REDACTED_SECRET}' when regexp_matches(text, '{N.LOCAL_PATH}') then '{N.REDACTED_PATH}'
+ else substr(text, 1, {N.LONGEST_TEXT}) end) as digest, regexp_matches(text, '{N.SECRET}') as secret from documents"""
 )
 def p07_redaction(t, spark):
-    return t("documents").groupBy("doc_kind").agg(F.count("*").alias("rows"), F.count_if(N.redacted(c("text")) == "[redacted]").alias("redacted"))
+    kept = N.redacted(c("text"))
+    return t("documents").select("doc_id", F.md5(kept).alias("digest"), c("text").rlike(N.SECRET).alias("secret"))
 
 
 @query(
@@ -96,14 +97,17 @@ def p01_label_normalized(t, spark):
     return t("collection_manifest").select("record_id", label.alias("label"), reason.alias("skip_reason")).distinct()
 
 
-@query("""select distinct record_id, nullif(substr(trim(sample_id, ' \t\r\n'), 1, 8), '') as short_id from collection_manifest""")
+@query(
+    f"""select distinct record_id, nullif(trim(case when regexp_matches(sample_id, '{N.SECRET}') then '{N.REDACTED_SECRET}' when regexp_matches(sample_id, '{N.LOCAL_PATH}') then '{N.REDACTED_PATH}'
+ else substr(sample_id, 1, {N.LONGEST_ID}) end, ' \t\r\n\f\v'), '') as sample_id from collection_manifest"""
+)
 def p10_sample_id(t, spark):
-    return t("collection_manifest").select("record_id", N.sample_id(c("sample_id"), 8).alias("short_id")).distinct()
+    return t("collection_manifest").select("record_id", N.sample_id(c("sample_id")).alias("sample_id")).distinct()
 
 
 @query(
-    """select image_format, case upper(trim(image_format)) when 'JPEG' then 'jpg' when 'PNG' then 'png' when 'WEBP' then 'webp' when 'GIF' then 'gif'
-when 'BMP' then 'bmp' when 'TIFF' then 'tiff' else coalesce(nullif(regexp_replace(lower(image_format), '[^a-z0-9]', '', 'g'), ''), 'bin') end as ext, count(*) as rows
+    """select image_format, case upper(image_format) when 'JPEG' then 'jpg' when 'JPEG2000' then 'jp2' when 'PNG' then 'png' when 'WEBP' then 'webp' when 'GIF' then 'gif'
+when 'BMP' then 'bmp' when 'TIFF' then 'tiff' else nullif(regexp_replace(lower(image_format), '[^a-z0-9]', '', 'g'), '') end as ext, count(*) as rows
 from collection_manifest group by 1, 2"""
 )
 def p11_extension(t, spark):
@@ -111,16 +115,16 @@ def p11_extension(t, spark):
 
 
 @query(
-    r"""with p as (select case when entry_id % 97 = 0 then '../' || original_filename when entry_id % 89 = 0 then '/' || original_filename
-  when entry_id % 83 = 0 then 'c:' || original_filename when entry_id % 79 = 0 then 'a//' || original_filename else 'a/' || original_filename end as path from batch_images)
-select not (path like '/%' or path like '%\%' or regexp_matches(path, '^[A-Za-z]:') or len(list_filter(string_split(path, '/'), lambda x: x in ('', '.', '..'))) > 0) as safe,
- lower(nullif(regexp_extract(path, '\.([A-Za-z0-9]+)$', 1), '')) as ext, count(*) as rows from p where path is not null group by 1, 2"""
+    r"""with p as (select case entry_id % 9 when 0 then '../' || original_filename when 1 then '/' || original_filename when 2 then 'c:' || original_filename
+  when 3 then 'a//' || original_filename when 4 then 'x/a:' || original_filename when 5 then original_filename || '/' when 6 then 'a\' || original_filename when 7 then './' || original_filename
+  else 'a/' || original_filename end as path from batch_images)
+select not (path = '' or path like '/%' or contains(path, '\') or contains(path, ':') or len(list_filter(string_split(regexp_replace(path, '/+$', ''), '/'), lambda x: x in ('', '.', '..'))) > 0) as safe,
+ lower(nullif(regexp_extract(path, '\.([A-Za-z0-9]+)$', 1), '')) as ext, count(*) as rows from p where path is not null group by 1, 2""".replace("\\\\", "\\")
 )
 def p15_unsafe_paths(t, spark):
-    name, e = c("original_filename"), c("entry_id")
-    path = F.when(e % 97 == 0, F.concat(F.lit("../"), name)).when(e % 89 == 0, F.concat(F.lit("/"), name)).when(e % 83 == 0, F.concat(F.lit("c:"), name))
-    path = path.when(e % 79 == 0, F.concat(F.lit("a//"), name)).otherwise(F.concat(F.lit("a/"), name))
-    rows = t("batch_images").select(path.alias("path")).filter("path is not null")
+    name, e = c("original_filename"), c("entry_id") % 9
+    before = F.element_at(F.array(*[F.lit(x) for x in ("../", "/", "c:", "a//", "x/a:", "", "a\\", "./", "a/")]), (e + 1).cast("int"))
+    rows = t("batch_images").select(F.concat(before, name, F.when(e == 5, "/").otherwise("")).alias("path")).filter("path is not null")
     return rows.groupBy(N.safe_path(c("path")).alias("safe"), N.path_parts(c("path"))[2].alias("ext")).agg(F.count("*").alias("rows"))
 
 
@@ -149,7 +153,7 @@ def p22_argmax_class(t, spark):
 
 
 @query(
-    """select source_dataset, count(*) as rows, count_if(coalesce(abs(prob_low + prob_medium + prob_high - 1) <= 1e-5 and abs(confidence - greatest(prob_low, prob_medium, prob_high)) <= 1e-9, false)) as consistent
+    """select source_dataset, count(*) as rows, count_if(coalesce(abs(prob_low + prob_medium + prob_high - 1) <= 1e-5 and abs(confidence - greatest(prob_low, prob_medium, prob_high)) <= 1e-5, false)) as consistent
 from predictions where not isnan(coalesce(confidence, 0)) group by 1"""
 )
 def p23_probability_checks(t, spark):
@@ -175,12 +179,12 @@ def _priorities(t):
     rows = rows.withColumn("d", F.lower(F.trim("source_dataset")))
     f1 = rows.filter("source_dataset is not null").groupBy("d").agg(F.round(F.avg("prob_high"), 3).alias("f1"))
     rows = J.with_default(rows, f1, "d", "f1", 1.0)
-    return rows.withColumn("s", R.priority(probs(), c("confidence"), c("f1")))
+    return rows.withColumn("s", R.priority(cleaned("model_prediction"), probs(), c("confidence"), c("f1")))
 
 
 @query(
     f"""with l as (select lower(trim(source_dataset)) as d, round(avg(prob_high), 3) as f1 from predictions where {_USABLE} and source_dataset is not null group by 1),
-x as (select distinct content_hash, model_version, predicted_at, source_dataset, 2 * prob_high + (1 - confidence) + (1 - (list_sort([prob_low, prob_medium, prob_high])[3] - list_sort([prob_low, prob_medium, prob_high])[2]))
+x as (select distinct content_hash, model_version, predicted_at, source_dataset, case when lower(trim(model_prediction, ' \t\r\n')) = 'high' then 2.0 else 0.0 end + (1 - confidence) + (1 - (list_sort([prob_low, prob_medium, prob_high])[3] - list_sort([prob_low, prob_medium, prob_high])[2]))
   + 0.25 * (1 - coalesce(f1, 1.0)) as s from predictions left join l on l.d = lower(trim(source_dataset)) where {_USABLE})
 select content_hash, model_version, predicted_at, round(s, 6) as priority from x order by s desc, content_hash, model_version limit 50"""
 )
@@ -192,7 +196,7 @@ def p25_priority_score(t, spark):
 
 @query(
     f"""with l as (select lower(trim(source_dataset)) as d, round(avg(prob_high), 3) as f1 from predictions where {_USABLE} and source_dataset is not null group by 1)
-select content_hash, model_version, predicted_at, source_dataset, round(2 * prob_high + (1 - confidence) + (1 - (list_sort([prob_low, prob_medium, prob_high])[3] - list_sort([prob_low, prob_medium, prob_high])[2]))
+select content_hash, model_version, predicted_at, source_dataset, round(case when lower(trim(model_prediction, ' \t\r\n')) = 'high' then 2.0 else 0.0 end + (1 - confidence) + (1 - (list_sort([prob_low, prob_medium, prob_high])[3] - list_sort([prob_low, prob_medium, prob_high])[2]))
   + 0.25 * (1 - coalesce(f1, 1.0)), 6) as priority from predictions left join l on l.d = lower(trim(source_dataset)) where {_USABLE}"""
 )
 def p25_priority_all(t, spark):
@@ -287,23 +291,58 @@ def p21_strict_json(t, spark):
 # ---- joins ---------------------------------------------------------------------------------------------------
 
 
+_JOINED = f"""with im as (select distinct content_hash, {CLEAN("source_dataset")} as component, loaded_at, sha256(image_bytes) as digest from images where deleted_at is null),
+i as (select content_hash as k, count(*) as images, min(component) as ic, bool_and(digest = content_hash) as readable from im group by 1),
+s as (select {KEY} as k, min({CLEAN("source_dataset")}) as component from assignments group by 1),
+a0 as (select distinct annotation_id, {KEY} as k, {_BROKEN} as validation_error, sensitivity_score from annotations),
+a as (select a0.*, component from a0 left join s on s.k = a0.k and a0.k is not null),
+g as (select k, count(*) as entries, bool_or(validation_error is not null) as invalid, min(component) as ac, min(sensitivity_score) as score from a where k is not null group by 1),
+st as (select g.k, coalesce(images, 0) as images, score, case when images is null then 'unmatched' when images > 1 then 'ambiguous_image' when not readable then 'image_integrity_problem'
+ when invalid then 'invalid_annotation' when entries > 1 then 'conflicting_annotations' when coalesce(ac <> ic, false) then 'annotation_metadata_conflict' else 'linked' end as status from g left join i on g.k = i.k)
+"""
+
+
+def _joined(t):
+    """Annotations held against the images that are there; what an assignment says of the source stands for the component."""
+    im = t("images").filter("deleted_at is null").select("content_hash", cleaned("source_dataset").alias("component"), "loaded_at", F.sha2("image_bytes", 256).alias("digest")).distinct()
+    none = F.lit(None).cast("string")
+    im = im.select(
+        F.concat_ws(":", "content_hash", c("loaded_at").cast("string")).alias("image_id"), "content_hash", F.when(c("digest") == c("content_hash"), "readable").otherwise("hash_mismatch").alias("file_status"),
+        "component", F.concat(F.lit("images/"), "content_hash").alias("image_path"), none.alias("normalized_label"), none.alias("label_status"),
+    )
+    said = t("assignments").groupBy(cleaned_hash("content_hash").alias("k")).agg(F.min(cleaned("source_dataset")).alias("component"))
+    ann = t("annotations").select(
+        c("annotation_id").alias("record_id"), cleaned_hash("content_hash").alias("k"), R.validation_error(cleaned("sensitivity_level")).alias("validation_error"), "sensitivity_score",
+    ).join(said, "k", "left").withColumnRenamed("k", "content_hash").withColumn("relative_image_path", none).withColumn("normalized_label", none)
+    return J.audited_join(im, ann, ["sensitivity_score"])
+
+
 @query(
-    f"""with i as (select content_hash as k, count(*) as images, bool_or(sha256(image_bytes) <> content_hash) as broken from (select distinct content_hash, image_bytes, loaded_at, deleted_at from images) where deleted_at is null group by 1),
-a0 as (select distinct annotation_id, {KEY} as k, public_relevance as p, harm_urgency as h, vulnerability as v, sensitivity_score as s, annotation_round from annotations),
-a as (select k, count(*) as annotations, bool_or(s is distinct from p + h + v) as invalid,
-  count(distinct sha256(concat_ws(chr(31), coalesce('=' || cast(p as varchar), '~'), coalesce('=' || cast(h as varchar), '~'), coalesce('=' || cast(v as varchar), '~')))) as payloads,
-  bool_and(annotation_round = 1) as meta_ok from a0 where k is not null group by 1)
-select a.k as content_hash, annotations, coalesce(images, 0) as images, case when images is null then 'unmatched' when images > 1 then 'ambiguous_image' when broken then 'image_integrity_problem'
- when invalid then 'invalid_annotation' when payloads > 1 then 'conflicting_annotations' when not meta_ok then 'annotation_metadata_conflict' else 'linked' end as status
-from a left join i on a.k = i.k"""
+    _JOINED
+    + "select a.annotation_id as record_id, a.k as content_hash, coalesce(status, 'unmatched') as status, coalesce(images, 0) as images, validation_error from a left join st on st.k = a.k"
 )
 def j01_audited_join(t, spark):
-    images = t("images").filter("deleted_at is null").distinct().select("content_hash", (F.sha2("image_bytes", 256) != c("content_hash")).alias("broken"))
-    ann = t("annotations").dropDuplicates(["annotation_id"]).select(
-        cleaned_hash("content_hash").alias("content_hash"), (~c("sensitivity_score").eqNullSafe(c("public_relevance") + c("harm_urgency") + c("vulnerability"))).alias("invalid"),
-        K.row_digest("public_relevance", "harm_urgency", "vulnerability").alias("payload"), (c("annotation_round") == 1).alias("meta_ok"),
-    )
-    return J.audited_join(images, ann, "content_hash")
+    return _joined(t)[0]
+
+
+@query(
+    _JOINED
+    + """select im.content_hash, coalesce(status, 'unannotated') as annotation_join_status, case when status = 'linked' then score end as sensitivity_score, count(*) as images
+from im left join st on st.k = im.content_hash group by all"""
+)
+def j01_image_status(t, spark):
+    return _joined(t)[1].groupBy("content_hash", "annotation_join_status", "sensitivity_score").agg(F.count("*").alias("images"))
+
+
+@query(
+    _JOINED
+    + """, v as (select im.component, case when digest = im.content_hash then 'readable' else 'hash_mismatch' end as file_status, coalesce(status, 'unannotated') as annotation_join_status from im left join st on st.k = im.content_hash),
+x as (select 'component' as statistic, coalesce(component, 'null') as value from v union all select 'component x file_status', coalesce(component, 'null') || ' x ' || file_status from v
+ union all select 'component x annotation_join_status', coalesce(component, 'null') || ' x ' || annotation_join_status from v)
+select statistic, value, count(*) as n from x group by 1, 2"""
+)
+def v09_audit_counts(t, spark):
+    return A.distributions(_joined(t)[1], ["component"], [("component", "file_status"), ("component", "annotation_join_status")])
 
 
 @query(
@@ -441,8 +480,7 @@ def a05_progress(t, spark):
 
 @query(
     f"""with r as (select distinct {KEY} as k, entry_id from batch_images)
-select k as content_hash, count(*) as members, min(entry_id) as first_member, max(entry_id) as last_member,
- array_to_string(list_sort(list(entry_id))[:20], ',') as listed from r where k is not null group by 1 having count(*) > 1"""
+select k as content_hash, count(*) as members, min(entry_id) as first_member, max(entry_id) as last_member from r where k is not null group by 1 having count(*) > 1"""
 )
 def a06_dup_groups(t, spark):
     rows = t("batch_images").select(cleaned_hash("content_hash").alias("content_hash"), "entry_id")
@@ -647,7 +685,10 @@ def a26_digest(t, spark):
     return A.ordered_digest(rows, ["batch_no"], "record_id")
 
 
-@query()
+@query(
+    """with h as (select cast('0x' || substr(sha256(cast(entry_id as varchar) || '|' || coalesce(content_hash, '~')), 1, 12) as bigint) as h from batch_images)
+select count(*) as rows, cast(sum(h) as varchar) as hash_sum, bit_xor(h) as hash_xor from h"""
+)
 def a26_bag_digest(t, spark):
     return A.set_digest(t("batch_images"), F.concat_ws("|", c("entry_id").cast("string"), F.coalesce("content_hash", F.lit("~"))))
 
@@ -833,13 +874,6 @@ def x07_split_complement(t, spark):
     return got.groupBy("event_type").agg(F.count_if("dev").alias("development"), F.count_if(~c("dev")).alias("holdout"))
 
 
-@query()
-def x03_twister_sample(t, spark):
-    """Parity mode over the bounded list of batches."""
-    batches = [r[0] for r in t("collection_manifest").select(c("batch_no").cast("string")).distinct().collect()]
-    return spark.createDataFrame([(i, b) for i, b in enumerate(S.twister_sample(batches, min(6, len(batches)), 42))], "place int, batch string")
-
-
 @query()
 def x03_twister_strata(t, spark):
     """Parity mode over all hashes of the manifest that are not of the development set: 50 of each source and label.
@@ -868,13 +902,6 @@ def x09_eps_grid(t, spark):
     return X.policies(_policy_rows(t), (0.3, 0.5, 0.93), X.epsilon_grid(spark), R.level_index(c("level")) + 1)
 
 
-@query(
-    """select l / 20.0 as w_low, m / 20.0 as w_medium, e / 200.0 as epsilon from range(0, 21) a(l), range(0, 21) b(m), range(0, 31) d(e) where l <= m"""
-)
-def x10_joint_grid(t, spark):
-    return X.joint_grid(spark, range(0, 21), range(0, 21), range(0, 31), 20, 200)
-
-
 @query(
     _POLICY
     + """, g as (select l, m, e, l / 20::double as wl, m / 20::double as wm, e / 200::double as epsilon from range(0, 21) a(l), range(0, 21) b(m), range(0, 31) d(e) where l <= m),
@@ -909,17 +936,22 @@ def x11_exact_breakpoints(t, spark):
 
 
 @query(
-    f"""with f as (select event_type, event_id, cast(('0x' || substr({_rank_sql("fold", "event_id", 20)}, 1, 12)) as bigint) % 5 as fold, value from events)
-select event_type, cast(fold as int) as fold, count(*) as rows, round(avg(value), 6) as mean from f group by 1, 2"""
+    _POLICY
+    + """, k as (select *, content_hash || ':' || coalesce(model_version, '~') || ':' || cast(p_fake as varchar) as key0 from pr),
+u as (select min(p_fake) as p_fake, min(p_low) as p_low, min(p_medium) as p_medium, min(p_high) as p_high, bool_and(fake) as fake, content_hash || ':' || coalesce(model_version, '~') as key from pr group by content_hash, model_version),
+f as (select *, (row_number() over (order by fake, sha256('20:fold:' || key), key) - 1) % 5 as fold from u where key is not null),
+g as (select i as i, i * 0.5 / 20 as epsilon from range(21) r(i)),
+d as (select fold, i, epsilon, fake, p_fake >= 0.5 - epsilon * (0.3 * p_low + 0.5 * p_medium + 0.93 * p_high) as said from f, g),
+p as (select fold, i, epsilon, count_if(said = fake) as ri, count_if(fake and said) as tp, count_if(fake) as fa, count(*) as n from d group by all),
+e as (select i, sum(ri) as ari, sum(tp) as atp, sum(fa) as afa, sum(n) as an from p group by 1),
+c as (select p.*, row_number() over (partition by fold order by (atp - tp) / nullif(afa - fa, 0) desc, (ari - ri) / nullif(an - n, 0) desc, epsilon) as r from p join e using (i))
+select cast(fold as int) as fold, epsilon, n as rows, round(coalesce(ri / n, 0), 6) as accuracy, round(coalesce(tp / nullif(fa, 0), 0), 6) as recall from c where r = 1"""
 )
 def x13_fold_stability(t, spark):
-    rows = X.with_fold(t("events"), "event_id", "event_type")
-    return rows.groupBy("event_type", "fold").agg(F.count("*").alias("rows"), F.round(F.avg("value"), 6).alias("mean"))
-
-
-@query("select round(0.3 + a * 0.02, 2) as t1, round(0.3 + b * 0.02, 2) as t2 from range(21) x(a), range(21) y(b)")
-def x14_threshold_grid(t, spark):
-    return X.threshold_grid(spark)
+    """One row per image and model version: the least of its values, as a repeated prediction is one."""
+    rows = _policy_rows(t).groupBy("content_hash", "model_version").agg(*[F.min(x).alias(x) for x in ("p_fake", "p_low", "p_medium", "p_high", "fake")])
+    rows = rows.withColumn("key", F.concat("content_hash", F.lit(":"), F.coalesce("model_version", F.lit("~")))).filter("key is not null")
+    return X.fold_stability(rows, "key", (0.3, 0.5, 0.93), [i * 0.5 / 20 for i in range(21)])
 
 
 @query(
@@ -1026,17 +1058,6 @@ def u04_except(t, spark):
     return rows.subtract(t("images").select("content_hash")).agg(F.count("*").alias("missing"))
 
 
-@query(
-    """with b as (select l_orderkey as pos, sum(l_quantity) as q from lineitem where l_orderkey < 5000 group by 1), n as (select l_orderkey as pos, sum(case when l_orderkey % 501 = 7 then l_quantity + 1 else l_quantity end) as q from lineitem group by 1)
-select count(*) as base_rows, count_if(n.pos is null or b.q is distinct from n.q) as mismatches, count_if(n.pos is null or b.q is distinct from n.q) = 0 as is_prefix from b left join n on b.pos = n.pos"""
-)
-def u07_log_prefix(t, spark):
-    rows = t("lineitem").select(c("l_orderkey").alias("pos"), c("l_quantity").alias("q"))
-    base = rows.filter("pos < 5000").groupBy("pos").agg(F.sum("q").alias("q"))
-    longer = rows.groupBy("pos").agg(F.sum(F.when(c("pos") % 501 == 7, c("q") + 1).otherwise(c("q"))).alias("q"))
-    return J.log_prefix(base, longer, "pos", "q")
-
-
 @query(
     """with b as (select l_orderkey as pos, sum(l_quantity) as q from lineitem group by 1), t as (select max(l_orderkey) as top from lineitem),
 n as (select pos, case when pos % 501 = 7 then q + 1 else q end as q from b union all select pos + top, q from b, t)
@@ -1055,27 +1076,6 @@ def u07_log_whole(t, spark):
 # ---- histories -----------------------------------------------------------------------------------------------------------
 
 
-_SESSIONS = """with g as (select *, case when epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts, event_id) <= 900000000 then 0 else 1 end as f from events),
-s as (select *, sum(f) over (partition by user_id order by ts, event_id rows unbounded preceding) as session from g)
-"""
-
-
-@query(_SESSIONS + "select event_id, cast(session as bigint) as session, f = 1 as granted, ts + interval 900 seconds as expires from s")
-def r10_lease_replay(t, spark):
-    got = V.lease_replay(t("events").select("event_id", "user_id", "ts"), "user_id", "ts", ["event_id"], 900)
-    return got.select("event_id", "session", "granted", "expires")
-
-
-@query(
-    """with m as (select o_orderkey as k, o_custkey as a, o_orderstatus as b from orders where o_orderkey % 5 <> 0), r as (select o_orderkey as k, case when o_orderkey % 17 = 0 then -1 else o_custkey end as a, o_orderstatus as b from orders where o_orderkey % 3 = 0)
-select case when m.k is null then 'pending' when m.a is not distinct from r.a and m.b is not distinct from r.b then 'identical' else 'conflict' end as plan, count(*) as rows from r left join m on r.k = m.k group by 1"""
-)
-def r13_merge_plan(t, spark):
-    o = t("orders").select(c("o_orderkey").alias("k"), c("o_custkey").alias("a"), c("o_orderstatus").alias("b"))
-    returned = o.filter("k % 3 = 0").withColumn("a", F.when(c("k") % 17 == 0, -1).otherwise(c("a")))
-    return V.merge_plan(o.filter("k % 5 <> 0"), returned, ["k"], ["a", "b"]).groupBy("plan").agg(F.count("*").alias("rows"))
-
-
 @query(
     f"""with n as (select distinct batch_no, record_id, {KEY} as k from collection_manifest), o as (select distinct {KEY} as k from batch_images)
 select batch_no, count_if(o.k is null) as fresh, count_if(o.k is not null) as repeated from n left join o on n.k = o.k group by 1"""
@@ -1139,9 +1139,18 @@ def _r04(spark: SparkSession, sf: str, stages: int = 5) -> DataFrame:
     return spark.read.parquet(out).select("batch_no", "stream_position", "normalized_label")
 
 
-def _r17(spark: SparkSession, sf: str) -> DataFrame:
-    stream = stream_files(spark, f"{sf}/events.parquet").withColumn("ts", c("ts").cast("timestamp"))
-    got = collect.latest_windows(collect.window_counts(stream, "ts", "1 hour", ["event_type"], "value", "10 minutes"), ["event_type"])
+def _r17(spark: SparkSession, sf: str, stages: int = 5) -> DataFrame:
+    """The events arrive in ``stages`` runs in order of time; the stream is resumed after each, its windows go on."""
+    rows = table(spark, sf, "events").withColumn("ts", c("ts").cast("timestamp")).select("ts", "event_type", "value")
+    ends = rows.agg(F.min(F.unix_micros("ts")).alias("a"), F.max(F.unix_micros("ts")).alias("b")).first()
+    source, out, checkpoint = scratch(spark, "events"), scratch(spark, "windows"), scratch(spark, "checkpoint")
+    step = max(1, ((ends["b"] or 0) - (ends["a"] or 0)) // stages + 1)
+    for i in range(stages):
+        rows.filter(F.floor((F.unix_micros("ts") - (ends["a"] or 0)) / step) == i).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(rows.schema).parquet(source)
+        got = collect.latest_windows(collect.window_counts(stream, "ts", "1 hour", ["event_type"], "value", "10 minutes"), ["event_type"], out, checkpoint)
+    discard(source)
+    discard(checkpoint)
     return got.select(c("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 

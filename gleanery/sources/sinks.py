@@ -7,11 +7,13 @@ import json
 import os
 import tempfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -54,8 +56,12 @@ def publish(path: str, data: bytes) -> bool:
     return True
 
 
-def csv_bytes(df: DataFrame, order: list[str]) -> bytes:
-    """A small export as CSV with fixed header, line feeds and order; nulls empty, booleans lower case."""
+def csv_bytes(df: DataFrame, order: list[str], most: int = 100_000) -> bytes:
+    """A small export as CSV with fixed header, line feeds and order; nulls empty, booleans lower case.
+
+    It is made on the driver: more than ``most`` rows raise ValueError, :func:`write_csv` is for those."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows; write_csv writes them from the executors")
     cols = [F.when(F.col(c), "true").when(~F.col(c), "false").alias(c) if t == "boolean" else F.col(c) for c, t in df.dtypes]
     return df.orderBy(*order).select(*cols).toPandas().to_csv(index=False, lineterminator="\n").encode()
 
@@ -133,3 +139,73 @@ def write_json(path: str, value: object) -> bool:
 
 def digest(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
+
+
+@contextmanager
+def lock(path: str) -> Iterator[None]:
+    """One build at a time: a lock file that is made only if it isn't there, and removed at the end; else BlockingIOError."""
+    try:
+        fd = os.open(path, os.O_CREAT | os.O_EXCL | os.O_WRONLY)
+    except FileExistsError:
+        raise BlockingIOError(f"{path} is held by another build") from None
+    try:
+        os.write(fd, str(os.getpid()).encode())
+        yield
+    finally:
+        os.close(fd)
+        Path(path).unlink(missing_ok=True)
+
+
+def snapshot_tables(spark: SparkSession, source: str, target: str, names: list[str]) -> dict[str, int]:
+    """A copy of tables as they are now, their rows by name; a target that has any of them raises FileExistsError."""
+    out = {}
+    for name in names:
+        try:
+            spark.read.parquet(f"{source}/{name}.parquet").write.mode("errorifexists").parquet(f"{target}/{name}.parquet")
+        except AnalysisException as e:
+            raise FileExistsError(f"{target}/{name}.parquet") if "PATH_ALREADY_EXISTS" in str(e) else e from None
+        out[name] = spark.read.parquet(f"{target}/{name}.parquet").count()
+    return out
+
+
+def append_predictions(df: DataFrame, path: str, key: str, version: int) -> int:
+    """A batch of predictions under ``version``, the same again if it is run again; a key that another version has
+    raises ValueError before anything is written.  Returns the rows of the batch."""
+    spark = df.sparkSession
+    try:
+        before = spark.read.parquet(path).filter(F.col("version") != version)
+        repeated = df.join(before.select(key).distinct(), key, "left_semi").limit(1).count()
+    except AnalysisException:  # the first batch
+        repeated = 0
+    if repeated:
+        raise ValueError("a prediction of the batch is there already")
+    df.write.mode("overwrite").parquet(f"{path}/version={version}")
+    return spark.read.parquet(f"{path}/version={version}").count()
+
+
+def transaction(checks: dict[str, DataFrame], write: Callable[[], None]) -> None:
+    """``write`` runs if none of ``checks`` has a row; else ValueError names those that do, and nothing is written."""
+    broken = [name for name, rows in checks.items() if not rows.isEmpty()]
+    if broken:
+        raise ValueError(f"not written: {', '.join(broken)}")
+    write()
+
+
+def set_field(df: DataFrame, key: str, value: object, field: str, to: object) -> DataFrame:
+    """``df`` with one field of one key's rows set."""
+    return df.withColumn(field, F.when(F.col(key) == F.lit(value), F.lit(to)).otherwise(F.col(field)))
+
+
+def only_row(df: DataFrame, key: str, value: object) -> dict:
+    """The one row of a key; LookupError if there is none or another."""
+    got = df.filter(F.col(key) == F.lit(value)).limit(2).collect()
+    if len(got) != 1:
+        raise LookupError(f"{'no' if not got else 'more than one'} row of {key} {value}")
+    return got[0].asDict()
+
+
+def same_resources(published: DataFrame, remote: DataFrame) -> tuple[int, int]:
+    """Resources on one side only, ``(missing, unexpected)`` of the remote: a publication is verified at (0, 0)."""
+    tagged = published.distinct().withColumn("_s", F.lit(1)).unionByName(remote.distinct().withColumn("_s", F.lit(2)))
+    n = tagged.groupBy(*published.columns).agg(F.sum("_s").alias("_s")).agg(F.count_if(F.col("_s") == 1).alias("a"), F.count_if(F.col("_s") == 2).alias("b")).first()
+    return n["a"], n["b"]

@@ -39,7 +39,7 @@ def test_against_brute_force_with_hot_keys(spark):
     children += children[:20]  # repeated rows
     want = brute(parents, children)
     assert 20 < len(want) < 380
-    for options in ({}, {"hot_rows": 5, "segments": 4}, {"hot_rows": 1, "segments": 16}):
+    for options in ({}, {"hot_rows": 5, "most_segments": 4}, {"hot_rows": 1, "most_segments": 16}):
         rows = find(spark, parents, children, **options).collect()
         assert sorted(r["row_id"] for r in rows) == sorted(want)
 

@@ -2,7 +2,7 @@ import os
 
 import pytest
 
-from gleanery.plans import problems, reference
+from gleanery.plans import problems, reference, store  # noqa: F401
 from tests import oracle
 
 QUERIES, SQL = problems.QUERIES | reference.QUERIES, problems.SQL | reference.SQL
