@@ -486,7 +486,7 @@ class History:
             total = {k: sum(n[k] for n in notes) for k in ("probes", "read", "candidates", "pairs", "known", "repeated")}
             live = self._with(self.state["live"], notes, ("prints", "texts"))
             rows, edges = self._marked(batch, hits, total, live)
-            won = self._decide(rows.filter("contested"), edges)
+            won = self._decide(rows.filter("contested"), edges) if total["repeated"] + total["pairs"] else None
             accepted = rows.filter("not contested")
             if won is not None:
                 accepted = accepted.unionByName(rows.filter("contested").join(won, "rid", "left_semi"))
@@ -497,7 +497,8 @@ class History:
             count = lambda kind: sum(s[2] for b in live.values() for s in b[kind])
             self.stats.append({"ingest": name, **total, "history_prints": count("prints"), "history_keys": count("keys")})
             self._committed(name, live, texts=count("texts"))
-        self.spark.sparkContext._jvm.System.gc()  # broadcast blocks of ended queries lie in memory, here and in executors, until then
+        if len(self.stats) % 4 == 0:  # broadcast blocks of ended queries lie in memory, here and in executors, until then
+            self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema("rid bigint").parquet(out)
 
     def _marked(self, batch: DataFrame, hits: DataFrame, total: dict[str, int], live: dict) -> tuple[DataFrame, DataFrame | None]:
@@ -536,22 +537,21 @@ class History:
         spread = F.pmod("other", F.lit(buckets)), F.pmod(F.xxhash64("ref"), F.lit(SLICES))
         return pairs.repartition(*spread).sortWithinPartitions("other", "ref").mapInArrow(run, LIKE_DDL)
 
-    def _decide(self, contested: DataFrame, edges: DataFrame | None) -> DataFrame | None:
-        """``rid`` of the contested that are accepted, null if there are none to decide.
+    def _decide(self, contested: DataFrame, edges: DataFrame | None) -> DataFrame:
+        """``rid`` of the contested that are accepted.
 
         In rounds: of those undecided, a record that is first under all its keys and before all its neighbours is
         accepted, and what shares with it is refused.  The first of all always is, so rounds come to an end; their
         number is the longest chain of decisions that depend on one another, whatever the number of records.
         """
-        if contested.isEmpty():
-            return None
         left = contested.select("rid", "ord", "keys", "cls").dropDuplicates(["rid"])
         decided: DataFrame | None = None
         while True:
             won, left = self._round(left, edges)
             decided = won if decided is None else decided.unionByName(won)
-            if left.isEmpty():
+            if left.isEmpty():  # mostly after one round
                 return decided
+            left = materialize(left, "left")
 
     @staticmethod
     def _round(left: DataFrame, edges: DataFrame | None) -> tuple[DataFrame, DataFrame]:
@@ -569,7 +569,7 @@ class History:
         if edges is not None:
             out = edges.join(won.select(F.col("cls").alias("a")), "a", "left_semi").select(F.col("b").alias("cls")).distinct()
             left = left.join(out, "cls", "left_anti")
-        return won.select("rid"), materialize(left, "left")
+        return won.select("rid"), left
 
 
 def refused_records(records: DataFrame, batch: str, excluded: DataFrame, store: History | None = None) -> DataFrame:

@@ -41,6 +41,11 @@ def p4_targets(spark: SparkSession, sf: str) -> DataFrame:
     return plan.select("target_id", "sample_name", "needed", "available", "quota", "shortfall")
 
 
+def p4_shortfalls(spark: SparkSession, sf: str) -> DataFrame:
+    """What each target needs, what there is, and what is missing."""
+    return p4_targets(spark, sf).select("target_id", "sample_name", "needed", "available", "shortfall")
+
+
 def p4_sample(spark: SparkSession, sf: str) -> DataFrame:
     return proportions.draw(*proportions.sample_plan(table(spark, sf, "predictions"), table(spark, sf, "sample_targets")))
 
@@ -73,6 +78,11 @@ def p6_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def p6_unchanged(spark: SparkSession, sf: str) -> DataFrame:
+    """:func:`p6_roundtrip` without the number of tokens, which SQL can't tell."""
+    return p6_roundtrip(spark, sf).drop("tokens")
+
+
 def _packed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     kinds = [(r[0], r[1]) for r in table(spark, sf, "containers").select("container_kind", "capacity_tokens").collect()]  # a few rows
     sizes = materialize(tokens.token_counts(table(spark, sf, "documents"), "doc_id", "text"), "sizes")
@@ -95,6 +105,23 @@ def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def p7_invariants(spark: SparkSession, sf: str) -> DataFrame:
+    """Per kind: documents packed, containers that hold more than their capacity, documents divided though they fit, and
+    documents whose pieces don't follow one another from the first token on (none of these may be)."""
+    packed = materialize(p7_containers(spark, sf), "packed")
+    kinds = table(spark, sf, "containers").select("container_kind", "capacity_tokens").distinct()
+    full = packed.groupBy("container_kind", "container").agg(F.sum("n_tokens").alias("n")).join(kinds, "container_kind")
+    full = full.groupBy("container_kind").agg(F.count_if(F.col("n") > F.col("capacity_tokens")).alias("overfull"))
+    docs = packed.groupBy("container_kind", "doc_id").agg(
+        F.sum("n_tokens").alias("n"), F.count("*").alias("pieces"), F.min("piece").alias("low"), F.max("piece").alias("high"), F.max(F.col("first_token") + F.col("n_tokens")).alias("end")
+    ).join(kinds, "container_kind")
+    docs = docs.groupBy("container_kind").agg(
+        F.count("*").alias("documents"), F.count_if((F.col("pieces") > 1) & (F.col("n") <= F.col("capacity_tokens"))).alias("divided_though_fitting"),
+        F.count_if((F.col("low") != 0) | (F.col("high") != F.col("pieces") - 1) | (F.col("end") != F.col("n"))).alias("gaps"),
+    )
+    return docs.join(full, "container_kind")
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     pairs = spans.sharing_pairs(table(spark, sf, "documents"), "doc_id", "text")
     return pairs.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
@@ -106,7 +133,7 @@ def p8_shared_share(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "p3_found": p3_found, "p3_overlap_by_split": p3_overlap_by_split,
-    "p4_found": p4_found, "p4_targets": p4_targets, "p4_sample": p4_sample,
-    "p5_found": p5_found, "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p7_containers": p7_containers, "p7_fill": p7_fill,
+    "p4_found": p4_found, "p4_targets": p4_targets, "p4_shortfalls": p4_shortfalls, "p4_sample": p4_sample,
+    "p5_found": p5_found, "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p6_unchanged": p6_unchanged, "p7_containers": p7_containers, "p7_invariants": p7_invariants, "p7_fill": p7_fill,
     "p8_found": p8_found, "p8_shared_share": p8_shared_share,
 }

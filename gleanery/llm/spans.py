@@ -287,15 +287,18 @@ def sharing_pairs(docs: DataFrame, row_id: str, text: str, length: int = 120) ->
 
 def shared_share(docs: DataFrame, row_id: str, text: str, length: int = 120) -> DataFrame:
     """``(row_id, n_chars, shared_chars, shared_share)`` of every row: how much of the text stands in runs that
-    another row has too.  A null text has null numbers, an empty one 0 and a null share."""
-    rows = shared_windows(docs.dropDuplicates([row_id]), row_id, text, length, positions=True)
-    g = W.partitionBy("k1", "k2")
-    found = rows.withColumn("first", F.min(row_id).over(g)).withColumn("last", F.max(row_id).over(g)).filter("first < last")
-    places = found.select(row_id, "at").distinct()
-    gap = F.lead("at").over(W.partitionBy(row_id).orderBy("at")) - F.col("at")
+    another row has too.  A null text has null numbers, an empty one 0 and a null share; a repeated row is one row.
+
+    Of each window the least and the greatest row are enough to tell whether another has it, so that a window which a
+    third of the rows have is combined before the shuffle; no text leaves its partition.
+    """
+    rows = materialize(shared_windows(docs, row_id, text, length, positions=True), "windows")
+    ends = rows.groupBy("k1", "k2").agg(F.min(row_id).alias("first"), F.max(row_id).alias("last")).filter("first < last")
+    places = rows.join(ends.select("k1", "k2"), ["k1", "k2"], "left_semi").select(row_id, "at").distinct()
+    gap = F.lead("at").over(W.partitionBy(row_id).orderBy("at")) - F.col("at")  # a partition is one text
     covered = places.select(row_id, F.least(F.coalesce(gap, F.lit(length)), F.lit(length)).alias("c"))
     covered = covered.groupBy(row_id).agg(F.sum("c").alias("shared_chars"))
-    every = docs.dropDuplicates([row_id]).select(row_id, F.length(text).cast("long").alias("n_chars"))
+    every = docs.select(row_id, F.length(text).cast("long").alias("n_chars")).groupBy(row_id).agg(F.max("n_chars").alias("n_chars"))
     shared = F.when(F.col("n_chars").isNotNull(), F.coalesce("shared_chars", F.lit(0)))
     return every.join(covered, row_id, "left").select(
         row_id, "n_chars", shared.alias("shared_chars"), F.try_divide(shared, "n_chars").alias("shared_share")

