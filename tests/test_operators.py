@@ -1,3 +1,4 @@
+import hashlib
 import random
 from fractions import Fraction
 
@@ -66,13 +67,6 @@ def test_quota_prefix_equals_the_loop(spark):
     assert sorted(r["i"] for r in sampling.quota_prefix(df, "k", "l", ["i"], quotas, target).collect()) == want
 
 
-def test_audited_join_statuses(spark):
-    images = spark.createDataFrame([("a", False), ("b", False), ("b", False), ("c", True), ("d", False), ("e", False), ("f", False), ("g", False)], "k string, broken boolean")
-    ann = [("a", False, "x", True), ("b", False, "x", True), ("c", False, "x", True), ("d", True, "x", True), ("e", False, "x", True), ("e", False, "y", True), ("f", False, "x", False), ("z", False, "x", True), (None, False, "x", True)]
-    got = {r["k"]: r["status"] for r in relations.audited_join(images, spark.createDataFrame(ann, "k string, invalid boolean, payload string, meta_ok boolean"), "k").collect()}
-    assert got == {"a": "linked", "b": "ambiguous_image", "c": "image_integrity_problem", "d": "invalid_annotation", "e": "conflicting_annotations", "f": "annotation_metadata_conflict", "z": "unmatched"}
-
-
 def test_relations(spark):
     a = spark.createDataFrame([(1, "x", 1), (2, None, 1), (3, "z", 1)], "k int, v string, t int")
     b = spark.createDataFrame([(1, "x", 2), (2, "y", 2), (4, "q", 2)], "k int, v string, t int")
@@ -88,7 +82,13 @@ def test_aggregates(spark):
     df = spark.createDataFrame([("a", "real", 1), ("a", "fake", 2), ("b", "real", 3), ("b", "real", 4), ("c", "odd", 5), (None, "real", 6)], "k string, l string, m int")
     got = {r["k"]: (r["label"], r["status"]) for r in aggregates.resolved_label(df, "k", "l", ["real", "fake"]).collect()}
     assert got == {"a": ("unknown", "conflict"), "b": ("real", "verified"), "c": ("unknown", "no_evidence")}
-    assert [r["listed"] for r in aggregates.duplicate_groups(df, "k", "m").orderBy("k").collect()] == ["1,2", "3,4"]
+    assert [tuple(r) for r in aggregates.duplicate_groups(df, "k", "m").orderBy("k").collect()] == [("a", 2, 1, 2), ("b", 2, 3, 4)]
+    items = spark.createDataFrame([("g", f"{i:03d}") for i in range(7)] + [("h", "x"), ("h", None), (None, "y")], "g string, i string")
+    sha = lambda x: hashlib.sha256("\n".join(x).encode()).hexdigest()
+    tree = lambda x, n: sha(x) if len(x) <= n else tree([sha(x[i : i + n]) for i in range(0, len(x), n)], n)
+    got = {r["g"]: r["digest"] for r in aggregates.ordered_digest(items, ["g"], "i").collect()}
+    assert got == {"g": sha([f"{i:03d}" for i in range(7)]), "h": sha(["x"]), None: sha(["y"])}
+    assert {r["g"]: r["digest"] for r in aggregates.ordered_digest(items, ["g"], "i", 3).collect()}["g"] == tree([f"{i:03d}" for i in range(7)], 3)
     both = df.unionByName(df.limit(0)).repartition(3)
     assert aggregates.set_digest(both, F.concat_ws("|", "k", "l")).first() == aggregates.set_digest(df, F.concat_ws("|", "k", "l")).first()
     assert [r["n"] for r in aggregates.reindexed_counts(df, "l", ["fake", "none"]).orderBy("place").collect()] == [1, 0]
@@ -113,11 +113,6 @@ def test_review(spark):
         review.merged(master, spark.createDataFrame([(1, "other")], "k int, v string"), ["k"], ["v"]).collect()
 
 
-def test_leases(spark):
-    df = spark.createDataFrame([(100,), (110,), (169,), (300,)], "s long").select(F.lit("img").alias("k"), F.timestamp_seconds("s").alias("t"), "s")
-    assert [r["granted"] for r in review.lease_replay(df, "k", "t", ["s"], 60).orderBy("s").collect()] == [True, False, False, True]
-
-
 def test_integrity(spark):
     df = spark.createDataFrame([("a", 1, True), ("a", 2, False), ("b", 1, None), ("b", 3, True)], "g string, o int, d boolean")
     assert {r["g"]: r["contiguous"] for r in integrity.gaps(df, ["g"], "o").collect()} == {"a": True, "b": False}

@@ -65,13 +65,13 @@ def test_joint_search_is_the_search_by_hand(spark):
 
 
 def test_priorities_of_all_usable_rows(spark, tmp_path):
-    p = [(f"h{i}", "v1", i, None if i % 7 == 0 else f" D{i % 3}", (float("nan") if i == 3 else None if i == 4 else 0.5), 0.2, 0.3, 0.5 if i != 5 else None) for i in range(80)]
-    df = spark.createDataFrame([*p, p[9]], "content_hash string, model_version string, predicted_at int, source_dataset string, confidence double, prob_low double, prob_medium double, prob_high double")
+    p = [(f"h{i}", "v1", i, None if i % 7 == 0 else f" D{i % 3}", (float("nan") if i == 3 else None if i == 4 else 0.5), 0.2, 0.3, 0.5 if i != 5 else None, " HIGH" if i == 7 else "low") for i in range(80)]
+    df = spark.createDataFrame([*p, p[9]], "content_hash string, model_version string, predicted_at int, source_dataset string, confidence double, prob_low double, prob_medium double, prob_high double, model_prediction string")
     df.write.parquet(f"{tmp_path}/predictions.parquet")
     got = reference.QUERIES["p25_priority_all"](spark, str(tmp_path)).collect()
     assert sorted(r["content_hash"] for r in got) == sorted([*(f"h{i}" for i in range(80) if i not in (3, 4, 5)), "h9"])
-    assert {r["content_hash"]: r["priority"] for r in got}["h7"] == 2.3  # no dataset: 1 + 0.5 + 0.8
-    assert {r["content_hash"]: r["priority"] for r in got}["h8"] == 2.425  # f1 0.5
+    assert {r["content_hash"]: r["priority"] for r in got}["h7"] == 3.3  # high is predicted, no dataset: 2 + 0.5 + 0.8
+    assert {r["content_hash"]: r["priority"] for r in got}["h8"] == 1.425  # f1 0.5
 
 
 def test_the_whole_log_is_compared(spark, tmp_path):
